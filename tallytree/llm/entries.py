@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tallytree.llm import packing
+from tallytree.llm import jaccard_join, packing
 
-QUERIES = {"op9_packing": packing.op9_packing}
+QUERIES = {
+    "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
+    "op9_packing": packing.op9_packing,
+}
 ORACLES: dict[str, str] = {}
