@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallytree.llm import jaccard_join, packing
+from tallytree.llm import jaccard_join, packing, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op9_packing": packing.op9_packing,
 }
