@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallytree.llm import jaccard_join, ngram_lm, packing, substring_dedup
+from tallytree.llm import jaccard_join, ngram_lm, packing, personal_data, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op5_pii": personal_data.op5_pii,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_lm_scoring": ngram_lm.op8_lm_scoring,
     "op9_packing": packing.op9_packing,
