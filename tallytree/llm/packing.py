@@ -11,6 +11,9 @@ by Spark. Nothing that grows with the corpus reaches the driver.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallytree.llm.common import documents, stored
+from tallytree.llm.hashing import slices
 
 CAPACITY = 2048
 QUANTUM = 8
@@ -38,13 +42,21 @@ class WordTokens:
     """Token ids of texts through a table of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its
-    words' ids in a row. At ``limit`` words the table starts anew, which bounds memory.
+    words' ids in a row; likewise letters and the full stops or commas after them never
+    merge. Words of letters only give one token sequence whose last token alone ends a word,
+    so many are encoded as one text and told apart afterwards. At ``limit`` words the table
+    starts anew, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1024, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.limit = limit
         self.clear()
 
@@ -55,9 +67,32 @@ class WordTokens:
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, stems: list[str]) -> dict[str, list[int]]:
+        """Ids of words of letters, 500 at a time."""
+        known: dict[str, list[int]] = {}
+        for at in range(0, len(stems), 500):
+            some = stems[at : at + 500]
+            ids = self.ids(" ".join(some))
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(some):
+                known.update((w, ids[a:b]) for w, a, b in zip(some, [0, *stops], stops, strict=False))
+            else:
+                known.update((w, self.ids(w)) for w in some)
+        return known
+
     def add(self, new: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
+        split = []
+        for word in map(bytes.decode, new):
+            stem = word.rstrip(".,")
+            split.append((stem, word[len(stem) :]) if stem.isalpha() else (word, ""))
+        known = self.learn([w for w in dict.fromkeys(w for w, _ in split) if w.isalpha()])
+        for part in {x for pair in split for x in pair}:
+            if part not in known:
+                known[part] = self.ids(part)
+        ids = [known[stem] + known[tail] for stem, tail in split]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.index), int(lens.sum())
         if n + len(new) > len(self.start):
@@ -66,12 +101,15 @@ class WordTokens:
             self.flat = np.concatenate([self.flat, np.zeros(self.used + total, np.uint32)])
         self.start[n : n + len(new)] = self.used + np.cumsum(lens) - lens
         self.size[n : n + len(new)] = lens
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.used += total
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def encode(self, text: bytes) -> np.ndarray:
-        parts = text.split()
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        # It lower-cases too; only a special token's name, which is read as such, must stay as it is.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        parts = list(itertools.chain.from_iterable(split))
         found = list(map(self.index.get, parts))
         if None in found:
             if len(self.index) > self.limit:
@@ -81,9 +119,16 @@ class WordTokens:
             found = list(map(self.index.__getitem__, parts))
         at = np.array(found, np.int64)
         lens = self.size[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - ends + lens, lens) + np.arange(total)]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        flat = self.flat[np.repeat(self.start[at] - ends[:-1], lens) + np.arange(ends[-1])]
+        stops = ends[np.cumsum([0, *map(len, split)])].tolist()
+        return [flat[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+
+
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One table for each Python worker, kept from task to task."""
+    return WordTokens(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -94,17 +139,17 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTokens(tokenizer or default_tokenizer())
+        table = word_tokens(tokenizer or default_tokenizer())
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            texts = batch.column("_text").cast(pa.large_binary())
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.append(table.encode(text.as_py() or b""), np.uint32(END_ID)).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
-                    for k, v in zip(out, (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+            for part, texts in slices(batch, "_text"):
+                rows = []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), table.encode(texts.to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
+                    for start in range(0, len(ids), capacity):
+                        piece = ids[start : start + capacity]
+                        rows.append((doc_id, start, len(piece), zlib.crc32(piece), len(ids)))
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(cut, PIECE_SCHEMA)
 
