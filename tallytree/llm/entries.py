@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallytree.llm import fingerprints, jaccard_join, ngram_lm, packing, personal_data, quality_rules, substring_dedup
+from tallytree.llm import fingerprints, jaccard_join, merge_dropout, ngram_lm, packing, personal_data, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_lm_scoring": ngram_lm.op8_lm_scoring,
     "op9_packing": packing.op9_packing,
+    "op10_merge_dropout": merge_dropout.op10_merge_dropout,
 }
 ORACLES: dict[str, str] = {}
