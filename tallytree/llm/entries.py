@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallytree.llm import fingerprints, jaccard_join, merge_dropout, ngram_lm, packing, personal_data, quality_rules, substring_dedup, toxicity
+from tallytree.llm import fingerprints, jaccard_join, line_dedup, merge_dropout, ngram_lm, packing, personal_data, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": personal_data.op5_pii,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_lm_scoring": ngram_lm.op8_lm_scoring,
     "op9_packing": packing.op9_packing,
