@@ -1,0 +1 @@
+"""Incremental aggregation of a stream of bottom rows."""
