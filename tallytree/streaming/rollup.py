@@ -1,0 +1,15 @@
+"""Aggregation of a stream of bottom rows to all levels, with late rows bounded by a watermark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def rollup_stream(rows: DataFrame, spec: list[list[str]], every: str, late: str, time_col: str = "ds", target_col: str = "y") -> DataFrame:
+    """unique_id, window start ds, level_ord and the sum y of each level, as events arrive."""
+    levels = sorted(spec, key=len)
+    ids = F.array(*(F.struct(F.lit(k).alias("level_ord"), F.concat_ws("/", *level).alias("unique_id")) for k, level in enumerate(levels)))
+    each = rows.withWatermark(time_col, late).select(F.window(time_col, every).alias("_w"), F.explode(ids).alias("_n"), F.col(target_col).alias("_y"))
+    sums = each.groupBy("_w", "_n").agg(F.sum("_y").alias(target_col))
+    return sums.select("_n.unique_id", F.col("_w.start").alias(time_col), "_n.level_ord", target_col)
