@@ -29,6 +29,8 @@ from tallytree.llm.hashing import slices
 CAPACITY = 2048
 QUANTUM = 8
 END_ID = 1
+#: Marks that the tokenizer splits from letters before them; runs of them stay together.
+MARKS = ".,;:?!$&%#*)"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -42,13 +44,12 @@ class WordTokens:
     """Token ids of texts through a table of words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its
-    words' ids in a row; likewise letters and the full stops or commas after them never
-    merge. Words of letters only give one token sequence whose last token alone ends a word,
+    words' ids in a row; likewise letters and the punctuation after them never merge. Words of letters only give one token sequence whose last token alone ends a word,
     so many are encoded as one text and told apart afterwards. At ``limit`` words the table
     starts anew, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
@@ -86,7 +87,7 @@ class WordTokens:
     def add(self, new: list[bytes]) -> None:
         split = []
         for word in map(bytes.decode, new):
-            stem = word.rstrip(".,")
+            stem = word.rstrip(MARKS)
             split.append((stem, word[len(stem) :]) if stem.isalpha() else (word, ""))
         known = self.learn([w for w in dict.fromkeys(w for w, _ in split) if w.isalpha()])
         for part in {x for pair in split for x in pair}:
@@ -110,14 +111,15 @@ class WordTokens:
         # It lower-cases too; only a special token's name, which is read as such, must stay as it is.
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         parts = list(itertools.chain.from_iterable(split))
-        found = list(map(self.index.get, parts))
-        if None in found:
-            if len(self.index) > self.limit:
-                self.clear()
-                found = [None] * len(parts)
-            self.add(list(dict.fromkeys(w for w, i in zip(parts, found, strict=True) if i is None)))
-            found = list(map(self.index.__getitem__, parts))
-        at = np.array(found, np.int64)
+        at = np.fromiter(map(self.index.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.index) > self.limit:
+            self.clear()
+            new = np.arange(len(parts))
+        if len(new):
+            unknown = [parts[k] for k in new.tolist()]
+            self.add(list(dict.fromkeys(unknown)))
+            at[new] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
         lens = self.size[at]
         ends = np.concatenate([[0], np.cumsum(lens)])
         flat = self.flat[np.repeat(self.start[at] - ends[:-1], lens) + np.arange(ends[-1])]
