@@ -14,6 +14,7 @@ probability. Labelled rows beyond ``MOST_LABELLED`` are thinned by the hash of t
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -33,6 +34,8 @@ MOST_LABELLED = 200_000
 CELLS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 TOP = 3
+#: Word scores below this count as nothing.
+LEAST = 0.5
 #: Cost, as a log-probability, of a character that imitates a letter, and of one that is dropped.
 IMITATES, DROPS, KEEPS_ODD = -1.0, -0.7, -2.5
 
@@ -138,32 +141,36 @@ def _features(words: list[str]) -> np.ndarray:
 class Words:
     """Feature cells of the words of texts; disguised words are restored. Starts anew at ``limit`` words."""
 
-    def __init__(self, model: np.ndarray, limit: int = 500_000):
-        self.restorer, self.limit = Restorer(model), limit
+    def __init__(self, model: np.ndarray, odds: np.ndarray | None = None, limit: int = 500_000):
+        self.restorer, self.odds, self.limit = Restorer(model), odds, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.cells = np.zeros((1 << 14, 1 + len(BEGINNINGS)), np.int32)
         self.single = np.zeros(1 << 14, bool)
+        self.score = np.zeros(1 << 14)
 
     def add(self, new: list[str]) -> None:
         n = len(self.index)
         if (room := n + len(new)) > len(self.single):
             self.cells = np.concatenate([self.cells, np.zeros((room, self.cells.shape[1]), np.int32)])
             self.single = np.concatenate([self.single, np.zeros(room, bool)])
+            self.score = np.concatenate([self.score, np.zeros(room)])
         clean = []
         for w in new:
             w = w.strip(EDGES) or w
             clean.append(self.restorer.word(w).strip(EDGES) if not w.isalpha() and ODD.search(w) or w.isalpha() and _thrice(w) else w)
         self.cells[n:room] = _features(clean)
+        if self.odds is not None:
+            self.score[n:room] = self.odds[self.cells[n:room]].max(axis=1, initial=0.0)
         self.single[n:room] = [len(w) == 1 for w in new]
         self.index.update(zip(new, range(n, room), strict=True))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words of all texts, spaced-out words restored and appended, and of which text each is."""
         split = [t.lower().split() for t in texts]
-        parts = [w for words in split for w in words]
+        parts = list(itertools.chain.from_iterable(split))
         at = self.look_up(parts)
         of = np.repeat(np.arange(len(split)), list(map(len, split)))
         single = np.append(self.single[at], False)
@@ -185,23 +192,28 @@ class Words:
         return at, of
 
     def look_up(self, parts: list[str]) -> np.ndarray:
-        found = list(map(self.index.get, parts))
-        if None in found:
-            if len(self.index) > self.limit:
-                self.clear()
-                found = [None] * len(parts)
-            self.add(list(dict.fromkeys(w for w, i in zip(parts, found, strict=True) if i is None)))
-            found = list(map(self.index.__getitem__, parts))
-        return np.array(found, np.int64)
+        at = np.fromiter(map(self.index.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.index) > self.limit:
+            self.clear()
+            new = np.arange(len(parts))
+        if len(new):
+            unknown = [parts[k] for k in new.tolist()]
+            self.add(list(dict.fromkeys(unknown)))
+            at[new] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        return at
 
 
 def _thrice(w: str) -> bool:
     return any(a == b == c for a, b, c in zip(w, w[1:], w[2:], strict=False))
 
 
-def _words_of(part: pa.RecordBatch, texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, word) pairs of a run of rows."""
+def _words_of(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, word) pairs of a run of rows; where words have scores, of those with LEAST or more."""
     at, of = words.texts(texts.cast(pa.large_string()).to_pylist())
+    if words.odds is not None:
+        good = words.score[at] >= LEAST
+        at, of = at[good], of[good]
     pair = np.unique(of.astype(np.int64) << 32 | at) if len(at) else np.zeros(0, np.int64)
     return pair >> 32, pair & 0xFFFFFFFF
 
@@ -214,11 +226,13 @@ def cell_odds(docs: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarra
         words, counts, n = Words(told.value), np.zeros((2, CELLS), np.int32), [0, 0]
         for part, texts in _bytes_of(batches):
             toxic = np.array(part.column("_toxic").to_pylist(), np.int64)
-            row, at = _words_of(part, texts, words)
+            row, at = _words_of(texts, words)
             for k in (0, 1):
                 n[k] += int((toxic == k).sum())
                 mine = toxic[row] == k
-                cells = np.unique((row[mine] << 20)[:, None] | words.cells[at[mine]]) & (CELLS - 1)
+                # A cell counts once for a document whatever words lead to it.
+                cells = np.sort(((row[mine] << 20)[:, None] | words.cells[at[mine]]).ravel())
+                cells = cells[np.append(True, cells[1:] != cells[:-1])[: len(cells)]] & (CELLS - 1)
                 counts[k] += np.bincount(cells, minlength=CELLS).astype(np.int32)
         at = np.flatnonzero(counts.any(axis=0))
         columns = [np.append(at, -1), np.append(counts[1][at], n[1]), np.append(counts[0][at], n[0])]
@@ -249,12 +263,12 @@ def document_features(docs: DataFrame, model: np.ndarray, odds: tuple[np.ndarray
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, toxic, other, n1, n0 = told.value
-        words, plain = Words(model), log_odds(toxic, other, n1, n0)
+        words = Words(model, log_odds(toxic, other, n1, n0))
         for part, texts in _bytes_of(batches):
             label = np.array(part.column("_toxic").fill_null(-1).to_pylist(), np.int64)
-            row, at = _words_of(part, texts, words)
+            row, at = _words_of(texts, words)
             cells = words.cells[at]
-            score = plain[cells].max(axis=1, initial=0.0)
+            score = words.score[at].copy()
             for k, (d1, d0) in enumerate(((0, 1), (1, 0))):
                 mine = (label[row] == k) & (score > 0)
                 c = cells[mine]
