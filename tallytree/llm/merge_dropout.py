@@ -73,6 +73,10 @@ class Vocabulary:
                 a, b = self.id.get(piece[:cut]), self.id.get(piece[cut:])
                 if a is not None and b is not None:
                     self.merge[a << 20 | b] = i
+        self.symbol = -1 - np.arange(0x110000)
+        for piece, i in self.id.items():
+            if len(piece) == 1:
+                self.symbol[ord(" " if piece == SPACE_MARK else piece)] = i
         self.pairs = np.array(sorted(self.merge), np.int64)
         self.into = np.array([self.merge[k] for k in self.pairs.tolist()], np.int64)
 
@@ -82,11 +86,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.into[at], -1)
 
-    def symbols(self, chunk: str) -> list[int]:
-        """Ids of a chunk's characters; those outside the vocabulary are -1 less the character."""
-        if chunk == SPACE_MARK:
-            return [-1 - ord(SPACE_MARK)]
-        return [self.id.get(c, -1 - ord(c)) for c in chunk.replace(" ", SPACE_MARK)]
+    def symbols(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the characters of all chunks, and how many each has; those outside the vocabulary are -1 less the character."""
+        ids = self.symbol[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return ids, np.fromiter(map(len, chunks), np.int64, len(chunks))
 
     def spelled(self, ids: list[int]) -> list[int]:
         """Characters outside the vocabulary as their bytes."""
@@ -136,13 +139,10 @@ def agenda(symbols: list[int], key: int, dropout: float, vocabulary: Vocabulary)
     return [i for i, x in zip(ids, alive, strict=True) if x]
 
 
-def joint_agenda(chunks: list[list[int]], keys: np.ndarray, dropout: float, vocabulary: Vocabulary) -> list[list[int]]:
-    """The ids of many short chunks: every round makes each chunk's best merge that is not skipped."""
-    limit = _limit(dropout)
-    done: list[list[int]] = [[]] * len(chunks)
-    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    ids = np.fromiter(itertools.chain.from_iterable(chunks), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(chunks)), sizes)
+def joint_agenda(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes of many short chunks: every round makes each chunk's best merge that is not skipped."""
+    limit, ready = _limit(dropout), []
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     start = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     none = np.int64(2**62)
 
@@ -166,10 +166,8 @@ def joint_agenda(chunks: list[list[int]], keys: np.ndarray, dropout: float, voca
         best = np.minimum.reduceat(order, first)
         open_ = best < none
         if not open_.all():  # chunks without a candidate are ready
-            length = np.diff(np.append(first, len(ids)))
-            for k in np.flatnonzero(~open_).tolist():
-                done[int(owner[first[k]])] = ids[first[k] : first[k] + length[k]].tolist()
-            stay = np.repeat(open_, length)
+            stay = np.repeat(open_, np.diff(np.append(first, len(ids))))
+            ready.append((owner[~stay], ids[~stay]))
             ids, owner, start, order = ids[stay], owner[stay], start[stay], order[stay]
             if not len(ids):
                 break
@@ -181,15 +179,19 @@ def joint_agenda(chunks: list[list[int]], keys: np.ndarray, dropout: float, voca
         stay[at + 1] = False
         ids, owner, start, order = ids[stay], owner[stay], start[stay], order[stay]
         at = at - np.arange(len(at))
-        renew = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        marks = np.zeros(len(ids) + 1, bool)
+        marks[at] = marks[at - 1] = True
+        renew = np.flatnonzero(marks[: len(ids)])
         order[renew] = candidates(renew)
-    return done
+    owner = np.concatenate([o for o, _ in ready]) if ready else np.zeros(0, np.int64)
+    ids = np.concatenate([i for _, i in ready]) if ready else np.zeros(0, np.int64)
+    return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
 
 
 class Segmenter:
     """Segmentations of chunks, kept until there are ``limit`` chunks, which bounds memory."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, limit: int = 400_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, limit: int = 600_000):
         self.vocabulary = Vocabulary(path)
         self.dropout, self.seed, self.variants, self.limit = dropout, seed, variants if dropout else 1, limit
         self.clear()
@@ -205,23 +207,31 @@ class Segmenter:
     def _work_out(self, wanted: np.ndarray) -> None:
         v = self.vocabulary
         names = [self.chunks[k] for k in (wanted // self.variants).tolist()]
-        symbols = list(map(v.symbols, names))
+        symbols, sizes = v.symbols(names)
         keys = np.fromiter((zlib.crc32(c.encode("utf-8", "surrogatepass")) << 32 | len(c) for c in names), np.uint64, len(names))
         keys = mixed(keys ^ mixed((wanted % self.variants).astype(np.uint64) + np.uint64(self.seed & MASK), 13), 14)
-        found: list[list[int]] = [[]] * len(names)
-        short = [k for k, s in enumerate(symbols) if len(s) <= LONG]
-        for k, ids in zip(short, joint_agenda([symbols[k] for k in short], keys[short], self.dropout, v), strict=True):
-            found[k] = v.spelled(ids)
-        for k, s in enumerate(symbols):
-            if len(s) > LONG:
-                found[k] = v.spelled(agenda(s, int(keys[k]), self.dropout, v))
-        lens = np.fromiter(map(len, found), np.int64, len(found))
+        short = sizes <= LONG
+        flat, lens = joint_agenda(symbols[np.repeat(short, sizes)], sizes[short], keys[short], self.dropout, v)
+        odd = np.zeros(len(names), bool)
+        odd[np.flatnonzero(short)[np.repeat(np.arange(len(lens)), lens)[flat < 0]]] = True
+        # Long chunks, and those with characters to spell in bytes, are few and go one by one.
+        ends, stops = np.cumsum(sizes), np.cumsum(lens)
+        place = np.cumsum(short) - 1
+        found = {}
+        for k in np.flatnonzero(odd | ~short).tolist():
+            one = flat[stops[place[k]] - lens[place[k]] : stops[place[k]]].tolist() if short[k] else agenda(symbols[ends[k] - sizes[k] : ends[k]].tolist(), int(keys[k]), self.dropout, v)
+            found[k] = np.array(v.spelled(one), np.int32)
+        plain = ~odd[short]
+        which = np.flatnonzero(short)[plain]
+        flat = np.concatenate([flat[np.repeat(plain, lens)].astype(np.int32), *found.values()])
+        wanted = np.concatenate([wanted[which], wanted[np.array(list(found), np.int64)]])
+        lens = np.concatenate([lens[plain], np.fromiter(map(len, found.values()), np.int64, len(found))])
         total = int(lens.sum())
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(self.used + total, np.int32)])
         self.start[wanted] = self.used + np.cumsum(lens) - lens
         self.size[wanted] = lens
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.int32, total)
+        self.flat[self.used : self.used + total] = flat
         self.used += total
 
     def encode(self, texts: list[str], names: list[int]) -> list[np.ndarray]:
@@ -230,22 +240,22 @@ class Segmenter:
         parts = list(itertools.chain.from_iterable(split))
         if len(self.index) > self.limit:
             self.clear()
-        found = list(map(self.index.get, parts))
-        if None in found:
-            new = list(dict.fromkeys(c for c, i in zip(parts, found, strict=True) if i is None))
-            n = len(self.index)
+        found = np.fromiter(map(self.index.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        if len(fresh := np.flatnonzero(found < 0)):
+            unknown = [parts[k] for k in fresh.tolist()]
+            new, n = list(dict.fromkeys(unknown)), len(self.index)
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
-            self.chunks = list(self.index) if not n else self.chunks + new
+            self.chunks += new
             if (room := (n + len(new)) * self.variants) > len(self.start):
                 self.start = np.concatenate([self.start, np.full(room, -1, np.int64)])
                 self.size = np.concatenate([self.size, np.zeros(room, np.int64)])
-            found = list(map(self.index.__getitem__, parts))
+            found[fresh] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(parts)) - np.repeat(first, sizes)
         key = np.repeat(mixed(np.array([n & MASK for n in names], np.uint64) ^ np.uint64(self.seed & MASK), 15), sizes)
         variant = (mixed(key + place.astype(np.uint64), 16) % np.uint64(self.variants)).astype(np.int64)
-        at = np.array(found, np.int64) * self.variants + variant
+        at = found * self.variants + variant
         if len(wanted := np.unique(at[self.start[at] < 0])):
             self._work_out(wanted)
         lens = self.size[at]
