@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs without these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Cells of the tables that are looked up by hash; their size does not depend on the input.
+CELLS = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one struct _all, so that no name of theirs clashes."""
+    rest = [c for c in docs.columns if c not in used]
+    packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None)
+    return docs.select(*used, packed.alias("_all"))
+
+
+def put_back(df: DataFrame, columns: list[str], used: tuple[str, ...]) -> DataFrame:
+    """The columns that set_aside was given, in their order."""
+    return df.select(*(F.col(c) if c in used else F.col("_all").getField(c).alias(c) for c in columns))
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id's decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -47,3 +61,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cell(h: Column) -> Column:
+    return F.pmod(h, F.lit(CELLS)).cast("int")
+
+
+def table(cells: DataFrame) -> Column:
+    """A scalar: one byte for each of CELLS cells, from rows (cell, level); 0 where there is none."""
+    every = cells.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
+    dense = every.join(cells, "cell", "left").select("cell", F.char(F.coalesce("level", F.lit(0))).alias("c"))
+    # In blocks of 1024 cells first; the one row at the end has the same size for any input.
+    block = dense.groupBy(F.shiftright("cell", 10).alias("block")).agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("all"))
+    block = block.select("block", F.array_join(F.transform("all", lambda x: x["c"]), "").alias("text"))
+    joined = block.agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("all"))
+    return joined.select(F.array_join(F.transform("all", lambda x: x["text"]), "").cast("binary").alias("bytes")).scalar()
+
+
+def looked_up(bytes_: Column, h: Column) -> Column:
+    """The byte of a hash's cell."""
+    return F.coalesce(F.ascii(F.substr(bytes_, cell(h) + 1, F.lit(1)).cast("string")), F.lit(0))

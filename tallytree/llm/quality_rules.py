@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallytree.llm.common import SPACE, documents, words
+from tallytree.llm.common import SPACE, cell, documents, looked_up, put_back, set_aside, stored, table, words
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ class Limits:
 
 
 LIMITS = Limits()
+USED = ("doc_id", "text", "source")
 
 
 def lines(text: Column) -> Column:
@@ -97,8 +98,6 @@ def excess_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(_id, _row, _places, _lost): places of the lines above the limit in each document, and their words."""
     host = F.coalesce(F.col("source"), F.lit(""))
     kept = docs.select(*_key(), F.xxhash64(host).alias("_host"), F.xxhash64("text").alias("_text"), lines(F.col("text")).alias("_lines"))
-    each = kept.select("_id", "_row", "_host", F.posexplode("_lines").alias("_place", "_line"))
-    each = each.select("_id", "_row", "_host", "_place", line_hash(F.col("_line")).alias("_hash"), F.size(words(F.col("_line"))).alias("_n")).where("_hash IS NOT NULL")
     in_documents = kept.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", line_hash))).alias("_hash")).where("_hash IS NOT NULL")
     # Most lines fall below the limit by their rows alone; only for the others are different texts counted.
     often = in_documents.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limits.max_documents)
@@ -106,7 +105,13 @@ def excess_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     per_line = different.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_documents"))
     hosts = kept.groupBy("_host", "_text").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
     above = per_line.join(hosts, "_host").where((F.col("_documents") > limits.max_documents) & (F.col("_documents") > limits.max_share * F.col("_all")))
-    found = each.join(above.select("_host", "_hash"), ["_host", "_hash"])
+    above = stored(above.select("_host", "_hash"), "above")
+    # A table of fixed size tells most other lines from these before their words are counted.
+    bits = table(above.select(cell(F.col("_hash")).alias("cell"), F.lit(1).alias("level")).distinct())
+    each = kept.select("_id", "_row", "_host", F.posexplode("_lines").alias("_place", "_line"), bits.alias("_bits"))
+    each = each.where(looked_up(F.col("_bits"), line_hash(F.col("_line"))) == 1)
+    each = each.select("_id", "_row", "_host", "_place", line_hash(F.col("_line")).alias("_hash"), F.size(words(F.col("_line"))).alias("_n"))
+    found = each.join(above, ["_host", "_hash"])
     return found.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_place")).alias("_places"), F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("_count")).select(
         "_id", "_row", "_places", (F.col("_sum") * F.size("_places") / F.col("_count")).cast("long").alias("_lost")
     )
@@ -119,8 +124,9 @@ def judged(docs: DataFrame, limits: Limits = LIMITS, with_text: bool = False) ->
     are in lines below the limit. A null source is a host of its own, a null or empty text
     fails for want of words. Documents of one host with the same text count as one, so exact
     copies do not make each other's lines frequent; repeated rows are judged alike. The
-    text loses its excess lines; other columns stay as they are.
+    text loses its excess lines. Other columns of docs go into the struct _all.
     """
+    docs = set_aside(docs, *USED)
     counted = base_counts(docs, limits).withColumns({"_id": _key()[0], "_row": _key()[1]})
     told = counted.join(excess_lines(docs, limits), ["_id", "_row"], "left")
     lost = F.coalesce("_lost", F.lit(0).cast("long"))
@@ -136,7 +142,7 @@ def judged(docs: DataFrame, limits: Limits = LIMITS, with_text: bool = False) ->
 
 def kept_documents(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """The kept documents without their excess lines, with the columns of docs."""
-    return judged(docs, limits, with_text=True).where("kept").select(*docs.columns)
+    return put_back(judged(docs, limits, with_text=True).where("kept"), docs.columns, USED)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
