@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallytree.llm.common import documents
+from tallytree.llm.common import documents, put_back, set_aside
 
 #: Code points of text before and after a span that are searched for context words.
 BEFORE, AFTER = 48, 24
@@ -129,6 +129,7 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets, as in [email]; overlapping spans become one."""
+    columns, docs = docs.columns, set_aside(docs, "text")
     spans = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.expr("struct(0 AS at, cast('' AS string) AS out)")
 
@@ -139,7 +140,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
     text = F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))
-    return with_spans(docs).withColumn("_text", text).withColumn("text", F.col("_text")).select(*docs.columns)
+    return put_back(with_spans(docs).withColumn("_new", text).select(F.col("_new").alias("text"), "_all"), columns, ("text",))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
