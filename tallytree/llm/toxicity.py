@@ -326,7 +326,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     rows = stored(document_features(told, model, odds), "toxicity")
     sample = rows.where("_toxic IS NOT NULL").select("_s", "_toxic").limit(2 * MOST_LABELLED).toArrow()
     y = sample.column("_toxic").to_numpy().astype(float)
-    if y.min(initial=1) == y.max(initial=0):
+    if len(np.unique(y)) < 2:
         x, weights = None, np.append(np.zeros(TOP), math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     else:
         x = np.array(sample.column("_s").to_pylist())
