@@ -18,36 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallytree.llm.common import documents, stored, words
+from tallytree.llm.common import cell, documents, looked_up, put_back, set_aside, stored, table, words
 
-CELLS = 1 << 20
-SMALL = 32
+SMALL = 512
 #: Levels up to EXACT are counts; above, four levels to a doubling.
 EXACT, MOST = 32, 126
 LOW = (1 << 56) - 1
 LAST = 2**63 - 1
 
 
-def cell(h: Column) -> Column:
-    return F.pmod(h, F.lit(CELLS)).cast("int")
-
-
-def table(cells: DataFrame) -> Column:
-    """A scalar: one byte for each of CELLS cells, from rows (cell, level); 0 where there is none."""
-    every = cells.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    dense = every.join(cells, "cell", "left").select("cell", F.char(F.coalesce("level", F.lit(0))).alias("c"))
-    # In blocks of 1024 cells first; the one row at the end has the same size for any input.
-    block = dense.groupBy(F.shiftright("cell", 10).alias("block")).agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("all"))
-    block = block.select("block", F.array_join(F.transform("all", lambda x: x["c"]), "").alias("text"))
-    joined = block.agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("all"))
-    return joined.select(F.array_join(F.transform("all", lambda x: x["text"]), "").cast("binary").alias("bytes")).scalar()
-
-
-def looked_up(bytes_: Column, h: Column) -> Column:
-    """The byte of a hash's cell."""
-    return F.coalesce(F.ascii(F.substr(bytes_, cell(h) + 1, F.lit(1)).cast("string")), F.lit(0))
-
-
 def rarity(docs: DataFrame) -> DataFrame:
     """(cell, level) from the counts of all words of all documents."""
     each = docs.select(F.explode(words(F.col("text"))).alias("w")).select(cell(F.xxhash64("w")).alias("cell"))
@@ -89,29 +68,39 @@ def different_lines(docs: DataFrame) -> DataFrame:
     return one.select("lh", "s.*")
 
 
-def prefix_rows(lines: DataFrame) -> DataFrame:
-    """(token, lh, d, l, n, i, k) for each rare word of each line; words that occur once are left out."""
-    each = lines.select("lh", "d", "l", "n", "k", F.posexplode("prefix").alias("i", "token"))
-    return each.where(F.shiftright("token", 56) != 1)
+def prefix_rows(lines: DataFrame, *more: str) -> DataFrame:
+    """(token, lh, ni, k) for each rare word of each line; words that occur once are left out.
+
+    ni holds the line's size and the word's place; short rows make a small shuffle.
+    """
+    each = lines.select("lh", "n", "k", *more, F.posexplode("prefix").alias("i", "token")).where(F.shiftright("token", 56) != 1)
+    return each.select("token", "lh", F.expr("shiftleft(cast(n as bigint), 32) | i").alias("ni"), "k", *more)
 
 
-#: Overlap that two lines need, and whether two rows of a list can still reach it; x comes later.
-NEED = "((8 * (x.n + y.n) + 17) div 18)"
+#: Overlap that two lines need, and whether two rows of a list can still reach it.
+SIZES = "cast(shiftright(x.ni, 32) as int)", "cast(shiftright(y.ni, 32) as int)"
+PLACES = "cast(x.ni & 4294967295L as int)", "cast(y.ni & 4294967295L as int)"
+BOTH = f"({SIZES[0]} + {SIZES[1]})"
+NEED = f"((8 * {BOTH} + 17) div 18)"
 ABLE = (
-    "(y.d < x.d OR (y.d = x.d AND y.l < x.l)) AND 10 * least(x.n, y.n) >= 8 * greatest(x.n, y.n) "
-    f"AND least(x.n - x.i, y.n - y.i) >= {NEED} AND bit_count(x.k ^ y.k) <= x.n + y.n - 2 * {NEED}"
+    f"10 * least({SIZES[0]}, {SIZES[1]}) >= 8 * greatest({SIZES[0]}, {SIZES[1]}) "
+    f"AND least({SIZES[0]} - {PLACES[0]}, {SIZES[1]} - {PLACES[1]}) >= {NEED} AND bit_count(x.k ^ y.k) <= {BOTH} - 2 * {NEED}"
 )
 
 
-def meeting(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """(x, y): pairs of lines that may be similar, from rows of lists with the same word."""
-    x, y = later.alias("x"), earlier.alias("y")
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(ABLE))
-    return found.select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct()
+def meeting(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """(x, y), x < y: pairs of lines that may be similar, from rows of lists with the same word.
+
+    once: both sides hold the same rows, so each pair is made from one side only.
+    """
+    x, y = left.alias("x"), right.alias("y")
+    other = F.col("x.lh") < F.col("y.lh") if once else F.col("x.lh") != F.col("y.lh")
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & other & F.expr(ABLE))
+    return found.select(F.least("x.lh", "y.lh").alias("x"), F.greatest("x.lh", "y.lh").alias("y")).distinct()
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lh) of those x of pairs whose similarity to y is 0.8 or more.
+    """(lh) of the later line of each pair whose similarity is 0.8 or more.
 
     Tables of fixed size tell which documents and lines are to be read again.
     """
@@ -122,11 +111,12 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     told = docs.select("doc_id", "text", in_docs.alias("bits")).where(looked_up(F.col("bits"), F.xxhash64(_id())) == 1)
     rows = line_rows(told).select("d", "l", F.xxhash64("line").alias("lh"), "line", in_lines.alias("bits"))
     rows = rows.where(looked_up(F.col("bits"), F.col("lh")) == 1).select("d", "l", "lh", tokens(F.col("line")).alias("t"))
-    sets = rows.join(asked, ["lh", "d", "l"], "left_semi").groupBy("lh").agg(F.min("t").alias("t"))
-    sided = pairs.join(sets.select(F.col("lh").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("lh").alias("y"), F.col("t").alias("ty")), "y")
-    both = F.size(F.array_intersect("tx", "ty"))
-    good = sided.where(100 * both >= 80 * (F.size("tx") + F.size("ty") - both))
-    return stored(good.select(F.col("x").alias("lh")).distinct(), "matched")
+    sets = rows.join(asked, ["lh", "d", "l"], "left_semi").groupBy("lh").agg(F.min(F.struct("d", "l", "t")).alias("s"))
+    sided = pairs.join(sets.select(F.col("lh").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("lh").alias("y"), F.col("s").alias("sy")), "y")
+    both = F.size(F.array_intersect("sx.t", "sy.t"))
+    good = sided.where(100 * both >= 80 * (F.size("sx.t") + F.size("sy.t") - both))
+    later = F.when(F.struct("sx.d", "sx.l") > F.struct("sy.d", "sy.l"), F.col("x")).otherwise(F.col("y"))
+    return stored(good.select(later.alias("lh")).distinct(), "matched")
 
 
 def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,15 +124,18 @@ def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = stored(different_lines(docs), "lines")
     rows = prefix_rows(lines)
     # A level of at most EXACT is a count of words, so only lists of other words can be long.
-    counted = rows.where(F.shiftright("token", 56) > EXACT).groupBy("token")
-    first = F.min(F.struct("d", "l", "lh", "n", "i", "k")).alias("first")
-    long_lists = stored(counted.agg(F.count(F.lit(1)).alias("c"), first).where(F.col("c") > SMALL), "long")
-    short = rows.join(long_lists.select("token"), "token", "left_anti")
-    many = rows.where(F.shiftright("token", 56) > EXACT).join(long_lists.select("token"), "token", "left_semi")
-    heads = long_lists.select("token", "first.*")
-    pairs = stored(meeting(short, short).union(meeting(many, heads)).distinct(), "pairs")
+    often = F.shiftright("token", 56) > EXACT
+    first = F.min(F.struct("d", "l", "lh", "ni", "k")).alias("first")
+    counted = prefix_rows(lines, "d", "l").where(often).groupBy("token").agg(F.count(F.lit(1)).alias("c"), first)
+    long_lists = stored(counted.where(F.col("c") > SMALL), "long")
+    in_long = long_lists.select("token")
+    short = rows.join(in_long, "token", "left_anti")
+    many = rows.where(often).join(in_long, "token", "left_semi")
+    heads = long_lists.select("token", "first.lh", "first.ni", "first.k")
+    pairs = stored(meeting(short, short, True).union(meeting(many, heads, False)).distinct(), "pairs")
     matched = verified(docs, lines, pairs)
-    rest = stored(meeting(many.join(matched, "lh", "left_anti"), many).join(pairs, ["x", "y"], "left_anti"), "rest")
+    left = prefix_rows(lines.join(matched, "lh", "left_anti")).where(often).join(in_long, "token", "left_semi")
+    rest = stored(meeting(left, many, False).join(pairs, ["x", "y"], "left_anti"), "rest")
     return lines, matched.union(verified(docs, lines, rest)).distinct()
 
 
@@ -167,11 +160,11 @@ def without_later_lines(docs: DataFrame) -> DataFrame:
     columns are kept; an empty table gives no rows.
     """
     gone = removed_lines(docs).withColumnRenamed("d", "_d").withColumnRenamed("gone", "_gone")
-    told = docs.withColumn("_d", _id()).join(gone, "_d", "left")
+    told = set_aside(docs, "doc_id", "text").withColumn("_d", _id()).join(gone, "_d", "left")
     split = F.split("text", "\n")
     left = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return told.withColumn("_text", text).select(*(F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return put_back(told.select("doc_id", text.alias("text"), "_all"), docs.columns, ("doc_id", "text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
