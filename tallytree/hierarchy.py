@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallytree.session import settled
+
 NODES = "unique_id string, level string, level_ord int, pos long, is_bottom boolean"
 
 
@@ -86,6 +88,12 @@ class Hierarchy:
         self.summing.cache()
         return self
 
+    def settle(self) -> Hierarchy:
+        """The same hierarchy as written tables, so that the plans over it stay short."""
+        h = Hierarchy(settled(self.nodes, "nodes"), settled(self.summing, "summing"), self.levels)
+        h.__dict__["edges"] = settled(Hierarchy.edges.func(h), "edges")
+        return h
+
     def unpersist(self) -> None:
         self.nodes.unpersist()
         self.summing.unpersist()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallytree.hierarchy import Hierarchy
 from tallytree.operators.aggregate import aggregate
+from tallytree.session import settled
 
 HORIZON = 4
 #: The time after the last whole quarter of the orders.
@@ -51,8 +52,8 @@ def forecasts(panel: DataFrame, h: Hierarchy, season: int, horizon: int) -> Pane
     order = Window.partitionBy("unique_id").orderBy("ds")
     back = F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))
     # Series and forecasts are read several times by every method; they are small beside the facts.
-    h.cache()
-    rows = panel.select("unique_id", "ds", "y", "level_ord", back.alias("back")).cache()
+    h = h.settle()
+    rows = settled(panel.select("unique_id", "ds", "y", "level_ord", back.alias("back")), "panel")
     raised: dict[str, Column] = {"naive": 1 + F.lit(0.05) * F.col("level_ord"), "snaive": 1 + F.lit(0.03) * F.col("level_ord")}
     train, test = rows.where(F.col("back") > horizon), rows.where(F.col("back") <= horizon)
     lags = train.withColumn("naive", F.lag("y", 1).over(order)).withColumn("snaive", F.lag("y", season).over(order))
@@ -68,7 +69,7 @@ def forecasts(panel: DataFrame, h: Hierarchy, season: int, horizon: int) -> Pane
         return df.select("unique_id", "ds", *keep, cells).select("unique_id", "ds", *keep, "c.model", "c.yhat")
 
     fitted = long(lags.where(F.col("snaive").isNotNull()), ["y"]).withColumn("y", F.col("y").cast("double"))
-    return Panel(h, train.select("unique_id", "ds", "y"), test.select("unique_id", "ds", "y"), long(ahead_rows, []).cache(), fitted.cache())
+    return Panel(h, train.select("unique_id", "ds", "y"), test.select("unique_id", "ds", "y"), settled(long(ahead_rows, []), "forecasts"), settled(fitted, "fitted"))
 
 
 GEO = [["total"], ["total", "region"], ["total", "region", "nation"]]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,3 +19,15 @@ def local_session(cores: int = 8, memory: str = "8g", **more: str) -> SparkSessi
     """A session on this machine, for tests and the bench."""
     conf = {**SETTINGS, "spark.driver.memory": memory, "spark.sql.shuffle.partitions": str(cores), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **more}
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share and read again: a short plan that survives lost executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='tallytree-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
