@@ -134,8 +134,8 @@ def judged(docs: DataFrame, limits: Limits = LIMITS, with_text: bool = False) ->
     told = told.withColumn("n_excess_lines", F.coalesce(F.size("_places"), F.lit(0)).cast("long")).withColumn("n_lost_words", lost).withColumn("kept", ~F.col("base_failed") & rest)
     told = told.withColumn("n_excess_lines", F.greatest("n_excess_lines", F.lit(0)))
     if with_text:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines(F.col("text"))) - 1), F.col("_places"))
-        cleaned = F.array_join(F.transform(left, lambda i: F.get(lines(F.col("text")), i)), "\n")
+        left = F.filter(lines(F.col("text")), lambda x, i: ~F.array_contains("_places", i))
+        cleaned = F.array_join(left, "\n")
         told = told.withColumn("text", F.when(F.col("_places").isNotNull(), cleaned).otherwise(F.col("text")))
     return told.drop("_id", "_row", "_places", "_lost")
 
