@@ -33,7 +33,7 @@ def lower_ascii(text: Column) -> Column:
 def set_aside(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others in one struct _all, so that no name of theirs clashes."""
     rest = [c for c in docs.columns if c not in used]
-    packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None)
+    packed = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("string")
     return docs.select(*used, packed.alias("_all"))
 
 

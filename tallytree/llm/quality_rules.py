@@ -142,7 +142,8 @@ def judged(docs: DataFrame, limits: Limits = LIMITS, with_text: bool = False) ->
 
 def kept_documents(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """The kept documents without their excess lines, with the columns of docs."""
-    return put_back(judged(docs, limits, with_text=True).where("kept"), docs.columns, USED)
+    # Written first: the condition would be pushed into the scan and all counts worked out there again.
+    return put_back(stored(judged(docs, limits, with_text=True), "judged").where("kept"), docs.columns, USED)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
