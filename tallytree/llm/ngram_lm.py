@@ -1,18 +1,22 @@
-"""Log-probabilities of documents under a weighted backoff automaton of smoothed n-grams.
-
-Words are counted over all training documents. Words, pairs and triples that make up at
-least a fixed share of all tokens become states and arcs, so the automaton has a size that
-is bounded by those shares; it is broadcast. A state is the longest kept suffix of what was
-read, an arc a kept n-gram with its interpolated probability; where a state has no arc for
-the next word, its failure arc leads to the next shorter suffix and multiplies by the weight
-that absolute discounting left over. Words too rare for the automaton are looked up in the
-table of all words by a join; they are read from the empty state and lead back to it.
+"""Log-probabilities of documents under a backoff automaton of smoothed n-grams.
+
+Words, pairs and triples are counted over all training documents; pairs and triples seen at
+least ``LEAST_COUNT`` times become arcs, whatever the size of the input. A state is the
+longest kept suffix of what was read, an arc a kept n-gram with its interpolated probability;
+where a state has no arc for the next word, its failure arc leads to the next shorter suffix
+and multiplies by the weight that absolute discounting left over.
+
+The automaton is never in one place: it is a table of what a word, pair or triple adds to a
+score. Failure weights are taken at every word and pair, and an arc's row gives back what
+it replaces, so the walk is a sum. Documents lie in chunks of a few MB; a chunk asks once for
+each of its different n-grams, so a frequent one makes a row per chunk, and gets its answers in
+one group with its texts. Bit tables of fixed size leave out most n-grams that were not kept;
+they lose none of the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,188 +26,235 @@ from pyspark.sql import functions as F
 from tallytree.llm.common import documents, id_crc, stored
 from tallytree.llm.hashing import mixed, slices, word_hashes
 
-#: Shares of all tokens: at most 1 / share different words, pairs or triples can reach them.
-WORD_SHARE = 2.5e-7
-NGRAM_SHARE = 1e-6
 LEAST_COUNT = 3
 DISCOUNT = 0.75
 END = mixed(np.zeros(1, np.uint64), 99)[0]
+STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of the tables that tell n-grams which were surely not kept.
+BITS = 25
+CHUNK = 1 << 22
 
 
-@dataclass
-class Automaton:
-    """words: sorted hashes; p1: their probability. pairs: sorted first << 32 | second over word
-    places; p2: probability of the arc. triples: sorted pair << 32 | word; p3 likewise. f1, f2:
-    weight of the failure arc of word and pair states; known2, known3: arcs by place."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two words, or of two pairs that overlap in a word and so make a triple."""
+    return mixed(mixed(a, 21) * STEP + b, 22)
 
-    words: np.ndarray
-    p1: np.ndarray
-    pairs: np.ndarray
-    p2: np.ndarray
-    f1: np.ndarray
-    triples: np.ndarray
-    p3: np.ndarray
-    f2: np.ndarray
 
-    @staticmethod
-    def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Places of keys in a sorted table; -1 where absent."""
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
+def _tokens(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens (words, then END for each row) and where rows begin."""
+    return np.insert(h, first[1:], END), first + np.arange(len(first))
 
-    def pair_keys(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return np.where((word >= 0) & (before >= 0), before << 32 | word, -1)
 
-    def log10(self, word: np.ndarray, before: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Of reading each word, but for the probability of words that are not in the table.
+def _pairs(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token, END at the beginning of a row; and the hashes of the pairs."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[begins[:-1]] = END
+    return before, _joined(before, tokens)
 
-        before: the word state (place of the last word or -1), state: the pair state (place of
-        the last two words or -1); both are what was carried there from the left.
-        """
-        p = np.where(word >= 0, self.p1[word] if len(self.p1) else 1.0, 1.0)
-        for table, arcs, left, at in ((self.pairs, self.p2, self.f1, before), (self.triples, self.p3, self.f2, state)):
-            if not len(left):
-                continue
-            arc = self.find(table, np.where((word >= 0) & (at >= 0), at << 32 | word, -1))
-            p = np.where(arc >= 0, arcs[arc] if len(arcs) else 1.0, np.where(at >= 0, left[at], 1.0) * p)
-        return np.log10(p)
 
+def _later(begins: np.ndarray) -> np.ndarray:
+    """Places of the tokens that are not the first of a row; a triple ends at each."""
+    good = np.ones(begins[-1], bool)
+    good[begins[:-1]] = False
+    return np.flatnonzero(good)
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Per run of rows: the rows, all tokens (words, then END for each row) and where rows begin."""
-    for batch in batches:
-        for part, texts in slices(batch, "_text"):
-            h, first = word_hashes(texts, lower=True)
-            yield part, np.insert(h, first[1:], END), first + np.arange(len(first))
 
+def _at(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
 
-def _before(x: np.ndarray, begins: np.ndarray, start: int) -> np.ndarray:
-    """What came before each token; ``start`` at the beginning of a row."""
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[begins[:-1]] = start
-    return out
 
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _at(keys)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([n for _, n in found])).astype(np.int64)
 
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A packed bit table of fixed size that holds all keys (and, by chance, some others)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            bits[_at(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    total = np.zeros(1 << BITS >> 3, np.uint8)
+    for row in keys.select("key").coalesce(8).mapInArrow(work, "bits binary").toLocalIterator():
+        total |= np.frombuffer(bytes(row[0]), np.uint8)
+    return total
+
+
+def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    key, a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    key, at, place = np.unique(key, return_index=True, return_inverse=True)
+    return key, a[at], b[at], np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
 
-def counted(docs: DataFrame, keys_of, most: int = 1_500_000) -> DataFrame:
-    """(key, n) summed over all rows of docs; keys_of(tokens, begins) gives the keys of a run of rows.
+
+def counted(docs: DataFrame, parts_of, most: int = 1_500_000) -> DataFrame:
+    """(a, b, n) summed over all rows of docs; parts_of(tokens, begins) gives key, a and b of a run of rows.
 
     A task adds up what it has before it sends, ``most`` keys at a time.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for _, tokens, begins in _tokens(batches):
-            found.append(np.unique(keys_of(tokens, begins), return_counts=True))
-            held += len(found[-1][0])
-            if held > most:
-                found = [_merged(found)]
-                held = len(found[0][0])
-                if held > most // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0][0].view(np.int64)), pa.array(found[0][1])], names=["key", "n"])
-                    found, held = [], 0
+
+        def batch_of(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
+
+        for batch in batches:
+            for _, texts in slices(batch, "_text"):
+                key, a, b = parts_of(*_tokens(*word_hashes(texts, lower=True)))
+                found.append(_merged([(key, a, b, np.ones(len(key)))]))
+                held += len(found[-1][0])
+                if held > most:
+                    found = [_merged(found)]
+                    held = len(found[0][0])
+                    if held > most // 2:
+                        yield batch_of(*found[0])
+                        found, held = [], 0
         if found:
-            keys, n = _merged(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            yield batch_of(*_merged(found))
+
+    return docs.select("_text").mapInArrow(work, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    return docs.select("_text").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def keyed(parts: DataFrame) -> DataFrame:
+    """(key, a, b, n) of the n-grams that are kept."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(a, b).view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
 
-def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Kept keys, sorted, and their counts; the caller bounds the rows by a share of all tokens."""
-    got = df.select("key", "n").toArrow()
-    key, n = (got.column(k).to_numpy() for k in ("key", "n"))
-    order = np.argsort(key, kind="stable")
-    return key[order].copy(), n[order].copy()
+    return parts.where(F.col("n") >= LEAST_COUNT).select("a", "b", "n").mapInArrow(work, "key long, a long, b long, n long")
 
 
-def trained(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, the table (key, n) of all words, the number of tokens and of different words."""
+def trained(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, int, int]:
+    """(key, value, base) of every word and kept pair and triple, bit tables of the pairs and the triples, number of tokens and of different words.
+
+    value: what a key adds to a score; base: log-probability of a word alone.
+    """
     spark = docs.sparkSession
-    vocabulary = stored(counted(docs, lambda tokens, begins: tokens), "words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    keep = max(LEAST_COUNT, NGRAM_SHARE * n)
-
-    key, count = _table(vocabulary.where(F.col("n") >= max(LEAST_COUNT, WORD_SHARE * n)))
-    order = np.argsort(key.view(np.uint64))
-    words, count = key.view(np.uint64)[order], count[order]
-    p1 = (count + 1) / (n + v + 1)
-    told = spark.sparkContext.broadcast((words, count >= keep))
-
-    def places(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words, often = told.value
-        at = Automaton.find(words, tokens)
-        at = np.where((at >= 0) & (often[at] if len(often) else False), at, -1)
-        return at, _before(at, begins, int(Automaton.find(words, np.array([END]))[0]))
-
-    def pair_keys(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        word, before = places(tokens, begins)
-        good = (word >= 0) & (before >= 0)
-        return before[good] << 32 | word[good]
-
-    pairs, c2 = _table(counted(docs, pair_keys).where(F.col("n") >= keep))
-    told2 = spark.sparkContext.broadcast(pairs)
-
-    def triple_keys(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        word, before = places(tokens, begins)
-        pair = Automaton.find(told2.value, np.where((word >= 0) & (before >= 0), before << 32 | word, -1))
-        state = _before(pair, begins, -1)
-        good = (state >= 0) & (pair >= 0)
-        return state[good] << 32 | word[good]
-
-    triples, c3 = _table(counted(docs, triple_keys).where(F.col("n") >= keep))
-
-    # What a context's kept arcs take, discounted, is missing from its failure arc.
-    context = pairs >> 32
-    taken = np.bincount(context, (c2 - DISCOUNT) / count[context], len(words)) if len(pairs) else np.zeros(len(words))
-    f1 = np.maximum(1 - taken, 1e-12)
-    p2 = (c2 - DISCOUNT) / count[context] + f1[context] * p1[pairs & 0xFFFFFFFF]
-    state = triples >> 32
-    taken = np.bincount(state, (c3 - DISCOUNT) / c2[state], len(pairs)) if len(triples) else np.zeros(len(pairs))
-    f2 = np.maximum(1 - taken, 1e-12)
-    second = pairs[state] & 0xFFFFFFFF if len(triples) else state
-    shorter = Automaton.find(pairs, second << 32 | (triples & 0xFFFFFFFF))
-    lower = np.where(shorter >= 0, p2[shorter] if len(p2) else 0, f1[second] * p1[triples & 0xFFFFFFFF]) if len(triples) else np.zeros(0)
-    p3 = (c3 - DISCOUNT) / c2[state] + f2[state] * lower if len(triples) else np.zeros(0)
-    return Automaton(words, p1, pairs, p2, f1, triples, p3, f2), vocabulary, int(n), int(v)
-
-
-def walked(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """doc_id, _held, n_tokens, _base, _score over words in the automaton's table, and the others as _rare, _times."""
-    told = docs.sparkSession.sparkContext.broadcast(automaton)  # bounded by the shares above
+    words = stored(counted(docs, lambda t, begins: (t, t, np.zeros_like(t))).select(F.col("a").alias("key"), "n"), "words")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    known = spark.sparkContext.broadcast(bit_table(words.where(F.col("n") >= LEAST_COUNT)))
+
+    # The words of a kept pair and the pairs of a kept triple are kept themselves.
+    def pairs_of(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        often = _may_hold(known.value, tokens)
+        before, key = _pairs(tokens, begins)
+        good = often & _may_hold(known.value, before)
+        return key[good], before[good], tokens[good]
+
+    pairs = stored(keyed(counted(docs, pairs_of)), "pairs")
+    bits2 = bit_table(pairs)
+    known2 = spark.sparkContext.broadcast(bits2)
+
+    def triples_of(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        key, at = _pairs(tokens, begins)[1], _later(begins)
+        often = _may_hold(known2.value, key)
+        at = at[often[at] & often[at - 1]]
+        return _joined(key[at - 1], key[at]), key[at - 1], key[at]
+
+    triples = stored(keyed(counted(docs, triples_of)), "triples")
+
+    def left(arcs: DataFrame, contexts: DataFrame) -> DataFrame:
+        """Every context with f, the weight of its failure arc."""
+        taken = arcs.groupBy(F.col("a").alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("_taken"))
+        return contexts.join(taken, "key", "left").withColumn("f", F.greatest(1 - F.coalesce(F.col("_taken") / F.col("n"), F.lit(0.0)), F.lit(1e-12))).drop("_taken")
+
+    p1 = (F.col("n") + 1) / F.lit(float(n + v + 1))
+    words = stored(left(pairs, words).select("key", "n", p1.alias("p"), "f"), "states")
+    of = lambda df, end: df.select(F.col("key").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "p", "f")))
+    lower = F.col("f_a") * F.col("p_b")
+
+    def arcs(ngrams: DataFrame, states: DataFrame) -> DataFrame:
+        told = ngrams.join(of(states, "a").drop("p_a"), "a").join(of(states, "b").drop("n_b", "f_b"), "b")
+        p = (F.col("n") - DISCOUNT) / F.col("n_a") + lower
+        return told.select("key", "n", p.alias("p"), F.log10(p / lower).alias("more"))
+
+    pairs = stored(left(triples, arcs(pairs, words)), "states")
+    triples = arcs(triples, pairs)
+    base = F.log10("p")
+    none = F.lit(None).cast("double").alias("base")
+    values = words.select("key", (base + F.log10("f")).alias("value"), base.alias("base"))
+    values = values.union(pairs.select("key", F.col("more") + F.log10("f"), none)).union(triples.select("key", "more", none))
+    return stored(values, "values"), bits2, bit_table(triples), int(n), int(v)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, doc_id, held, text): runs of rows as arrays."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "_text", CHUNK):
+                ends = pa.array([0, part.num_rows], pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, x) for x in (part.column("doc_id"), part.column("_held"), texts.cast(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held", "text"])
+
+    rows = docs.mapInArrow(work, "doc_id array<long>, held array<boolean>, text array<binary>")
+    return stored(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def _ngrams(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where rows begin; words, pairs and triples at each token (triples but for the first of a row)."""
+    tokens, begins = _tokens(*word_hashes(texts.cast(pa.large_binary()), lower=True))
+    key, at = _pairs(tokens, begins)[1], _later(begins)
+    return begins, [tokens, key, _joined(key[at - 1], key[at])]
+
+
+def asked(told: DataFrame, bits2: np.ndarray, bits3: np.ndarray) -> DataFrame:
+    """(key, chunk, at) of each different n-gram of a chunk that may be in the table; at counts all of them."""
+    bits = told.sparkSession.sparkContext.broadcast((bits2, bits3))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = told.value
-        start = int(a.find(a.words, np.array([END]))[0])
-        log1 = np.append(np.log10(a.p1), 0.0)
-        for part, tokens, begins in _tokens(batches):
-            word = a.find(a.words, tokens)
-            before = _before(word, begins, start)
-            pair = a.find(a.pairs, a.pair_keys(word, before))
-            score = a.log10(word, before, _before(pair, begins, -1))
-            row_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-            sums = [np.bincount(row_of, x, part.num_rows) for x in (log1[word], score, word >= 0)]
-            rare = word < 0
-            key, row = tokens[rare], row_of[rare]
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)]
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(key)))
-            ends = np.searchsorted(row[at], np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (key[at].view(np.int64), times)]
-            columns = [part.column("doc_id"), part.column("_held"), pa.array(np.diff(begins)), *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64)), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_held", "n_tokens", "_base", "_score", "_seen", "_rare", "_times"])
-
-    schema = "doc_id long, _held boolean, n_tokens long, _base double, _score double, _seen long, _rare array<long>, _times array<long>"
-    return docs.mapInArrow(work, schema)
+        for batch in batches:
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("text"), strict=True):
+                start = 0
+                for k, keys in enumerate(_ngrams(texts.values)[1]):
+                    keys = np.unique(keys)
+                    may = np.flatnonzero(_may_hold(bits.value[k - 1], keys)) if k else np.arange(len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[may].view(np.int64)), pa.array(np.full(len(may), chunk)), pa.array((may + start).astype(np.int32))], names=["key", "chunk", "at"])
+                    start += len(keys)
+
+    return told.select("chunk", "text").mapInArrow(work, "key long, chunk long, at int")
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def walked(told: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
+    """The scores of all rows, from the chunks and (chunk, at, value, base); unseen: log-probability of a word not in the table."""
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        one = rows.filter(rows["at"].is_null()).combine_chunks()
+        ids, held, texts = (one[c].chunk(0).flatten() for c in ("doc_id", "held", "text"))
+        rows = rows.filter(rows["at"].is_valid())
+        at, value, base = (rows[c].to_numpy() for c in ("at", "value", "base"))
+        begins, parts = _ngrams(texts)
+        row_of = np.repeat(np.arange(len(ids)), np.diff(begins))
+        of_part = [row_of, row_of, row_of[_later(begins)]]
+        score, start = np.zeros(len(ids)), 0
+        for k, (part, row) in enumerate(zip(parts, of_part, strict=True)):
+            keys, place = np.unique(part, return_inverse=True)
+            mine = (at >= start) & (at < start + len(keys))
+            every = np.full(len(keys), 0.0 if k else unseen)
+            every[at[mine] - start] = value[mine]
+            score += np.bincount(row, every[place], len(ids))
+            if not k:
+                alone, seen = np.full(len(keys), unseen), np.zeros(len(keys))
+                alone[at[mine]], seen[at[mine]] = base[mine], 1
+                sums = [np.bincount(row, x[place], len(ids)) for x in (seen, alone)]
+            start += len(keys)
+        columns = [ids, held, pa.array(np.diff(begins)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(score)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("value", "double"), ("base", "double"), ("doc_id", "array<long>"), ("held", "array<boolean>"), ("text", "array<binary>"))}
+    texts = told.select("chunk", none["at"], none["value"], none["base"], "doc_id", "held", "text")
+    rows = texts.union(answers.select("chunk", "at", "value", "base", none["doc_id"], none["held"], none["text"]))
+    return rows.groupBy("chunk").applyInArrow(work, SCORED)
 
 
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -216,16 +267,11 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     nothing to learn from, every token has the probability one. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
-    automaton, vocabulary, n, v = trained(docs.where("NOT _held"))
-    rows = stored(walked(docs, automaton).withColumn("_row", F.monotonically_increasing_id()), "walked")
-    rare = rows.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("r")).select("_row", F.col("r._rare").alias("key"), F.col("r._times").alias("_times"))
-    rare = rare.join(vocabulary, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    unseen = -float(np.log10(n + v + 1))
-    log = F.log10(F.col("n") + 1) + F.lit(unseen)
-    rare = rare.groupBy("_row").agg(F.sum(F.col("_times") * log).alias("_log"), F.sum(F.when(F.col("n") > 0, F.col("_times")).otherwise(0)).alias("_more"))
-    all_rows = rows.drop("_rare", "_times").join(rare, "_row", "left")
-    log, more = F.coalesce("_log", F.lit(0.0)), F.coalesce("_more", F.lit(0))
-    return all_rows.select("doc_id", F.col("_held").alias("held_out"), "n_tokens", (F.col("_seen") + more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("_base") + log).alias("base_score"), (F.col("_score") + log).alias("score"))
+    values, bits2, bits3, n, v = trained(docs.where("NOT _held"))
+    told = chunks(docs)
+    answers = asked(told, bits2, bits3).join(values, "key").select("chunk", "at", "value", "base")
+    rows = walked(told, answers, -float(np.log10(n + v + 1)))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

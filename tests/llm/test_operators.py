@@ -194,6 +194,42 @@ def test_lm_scoring(docs, empty):
     assert ngram_lm.scored(empty, F.lit(False)).count() == 0
 
 
+def lm_brute(rows, held):
+    """Scores from counts in dictionaries: discounted n-grams seen three times or more, else back off."""
+    count = collections.Counter()
+    for i, t in rows:
+        if i not in held:
+            x = [None, *words((t or "").lower()), None]
+            count.update((w,) for w in x[1:])
+            count.update(g for n in (2, 3) for g in zip(*(x[k:] for k in range(n)), strict=False))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    arcs = collections.defaultdict(list)
+    for g, c in count.items():
+        if len(g) > 1 and c >= 3:
+            arcs[g[:-1]].append(c)
+    left = lambda c: max(1 - sum(x - 0.75 for x in arcs[c]) / count[c], 1e-12) if c in arcs else 1.0
+
+    def p(g):
+        if len(g) == 1:
+            return (count[g] + 1) / (n + v + 1)
+        more = (count[g] - 0.75) / count[g[:-1]] if count[g] >= 3 else 0
+        return more + left(g[:-1]) * p(g[1:])
+
+    return {i: sum(np.log10(p(tuple(x[max(0, k - 2) : k + 1]))) for k in range(1, len(x))) for i, t in rows for x in [[None, *words((t or "").lower()), None]]}
+
+
+def test_lm_keeps_ngrams_by_count_at_any_size(spark):
+    """3.2e6 tokens: an n-gram and a word seen 3 times count as they do on a small table."""
+    rng = np.random.default_rng(4)
+    said = lambda n: " ".join(rng.choice([f"v{k}" for k in range(30)], n))
+    rows = [(k, said(60)) for k in range(40)] + [(k, "rare phrase here " + said(20)) for k in range(40, 44)] + [(44, None), (45, "rare phrase here and v1 v2 never")]
+    rows += [(k, "x " * 800_000) for k in range(46, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ngram_lm.scored(docs, F.col("doc_id").isin(43, 45)).collect()}
+    exp = lm_brute(rows[:46] + [(46, rows[46][1])] * 4, {43, 45})
+    assert all(np.isclose(got[i], exp[i], rtol=1e-9) for i in range(46))
+
+
 def test_packing(docs, empty):
     got = packing.packed_documents(docs).collect()
     assert all(r.length <= 2048 for r in got)
