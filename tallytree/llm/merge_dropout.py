@@ -1,16 +1,16 @@
 """Merge-type (BPE) encoding with seeded dropout over a SentencePiece vocabulary, and exact decoding.
 
 The agenda of a chunk holds the merges of neighbouring symbols, best score first, leftmost
-among equals. A candidate is skipped for good if a hash keyed by the seed, the chunk, the
-variant and the candidate's place falls below the dropout rate; merging its neighbours makes
-new candidates. Spaces become U+2581, one is put in front of the text, and what the
+among equals. A candidate is skipped for good if a hash keyed by the seed, the document, the
+chunk's place and the candidate's place falls below the dropout rate; merging its neighbours
+makes new candidates. Spaces become U+2581, one is put in front of the text, and what the
 vocabulary lacks is spelled in bytes, so decoding gives the text back whatever was skipped.
 
 No piece holds a line feed or anything before a space, so a text falls into chunks (spaces
-and the run of characters after them) that never merge with each other. Each occurrence of a
-chunk takes one of ``variants`` segmentations, drawn by the keyed hash of document and place;
-a segmentation is worked out once and kept by the Python worker. Many chunks go through the
-agenda at once in numpy; long ones use a heap.
+and the run of characters after them) that never merge with each other. The plain segmentation of a chunk and the merges it makes
+are worked out once and kept by the Python worker. An occurrence that skips none of these
+merges is plain; every other one goes through the agenda with its own key, many at once in
+numpy; long ones use a heap.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from tallytree.llm.hashing import mixed, slices
 
 DROPOUT = 0.1
 SEED = 20240501
-VARIANTS = 4
 #: Chunks of more symbols use the heap, since the joint agenda takes a round per merge.
 LONG = 48
 SPACE_MARK = "▁"
@@ -139,8 +138,11 @@ def agenda(symbols: list[int], key: int, dropout: float, vocabulary: Vocabulary)
     return [i for i, x in zip(ids, alive, strict=True) if x]
 
 
-def joint_agenda(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and sizes of many short chunks: every round makes each chunk's best merge that is not skipped."""
+def joint_agenda(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float, vocabulary: Vocabulary, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes of many short chunks: every round makes each chunk's best merge that is not skipped.
+
+    The merges go to ``made``, as chunk, start, middle and end.
+    """
     limit, ready = _limit(dropout), []
     owner = np.repeat(np.arange(len(sizes)), sizes)
     start = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -174,6 +176,9 @@ def joint_agenda(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout:
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = best[open_]
         at = np.flatnonzero(order == np.repeat(best, np.diff(np.append(first, len(ids)))))
+        if made is not None:
+            within = (at + 2 < len(ids)) & (owner[np.minimum(at + 2, len(ids) - 1)] == owner[at])
+            made.append((owner[at], start[at], start[at + 1], np.where(within, start[np.minimum(at + 2, len(ids) - 1)], sizes[owner[at]])))
         ids[at] = vocabulary.merged(ids[at], ids[at + 1])
         stay = np.ones(len(ids), bool)
         stay[at + 1] = False
@@ -189,53 +194,82 @@ def joint_agenda(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout:
 
 
 class Segmenter:
-    """Segmentations of chunks, kept until there are ``limit`` chunks, which bounds memory."""
+    """Plain segmentations of chunks, kept until there are ``limit`` chunks, which bounds memory."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, limit: int = 600_000):
+    def __init__(self, path: str, dropout: float, seed: int, limit: int = 600_000):
         self.vocabulary = Vocabulary(path)
-        self.dropout, self.seed, self.variants, self.limit = dropout, seed, variants if dropout else 1, limit
+        self.dropout, self.seed, self.limit = dropout, seed, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.chunks: list[str] = []
         self.flat = np.zeros(1 << 16, np.int32)
-        self.start = np.full(1 << 14, -1, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.start, self.size, self.first_made, self.n_made = (np.zeros(0, np.int64) for _ in range(4))
+        self.long = np.zeros(0, bool)
+        self.made = np.zeros((3, 1 << 16), np.int32)
+        self.used = self.used_made = 0
 
-    def _work_out(self, wanted: np.ndarray) -> None:
+    def _segmented(self, names: list[str], keys: np.ndarray, dropout: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, where each chunk's begin, how many it has, and which chunks are long."""
         v = self.vocabulary
-        names = [self.chunks[k] for k in (wanted // self.variants).tolist()]
         symbols, sizes = v.symbols(names)
-        keys = np.fromiter((zlib.crc32(c.encode("utf-8", "surrogatepass")) << 32 | len(c) for c in names), np.uint64, len(names))
-        keys = mixed(keys ^ mixed((wanted % self.variants).astype(np.uint64) + np.uint64(self.seed & MASK), 13), 14)
         short = sizes <= LONG
-        flat, lens = joint_agenda(symbols[np.repeat(short, sizes)], sizes[short], keys[short], self.dropout, v)
+        flat, lens = joint_agenda(symbols[np.repeat(short, sizes)], sizes[short], keys[short], dropout, v, made)
         odd = np.zeros(len(names), bool)
         odd[np.flatnonzero(short)[np.repeat(np.arange(len(lens)), lens)[flat < 0]]] = True
         # Long chunks, and those with characters to spell in bytes, are few and go one by one.
         ends, stops = np.cumsum(sizes), np.cumsum(lens)
-        place = np.cumsum(short) - 1
-        found = {}
+        size, start = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        size[short], start[short] = lens, stops - lens
+        found, total = [], len(flat)
         for k in np.flatnonzero(odd | ~short).tolist():
-            one = flat[stops[place[k]] - lens[place[k]] : stops[place[k]]].tolist() if short[k] else agenda(symbols[ends[k] - sizes[k] : ends[k]].tolist(), int(keys[k]), self.dropout, v)
-            found[k] = np.array(v.spelled(one), np.int32)
-        plain = ~odd[short]
-        which = np.flatnonzero(short)[plain]
-        flat = np.concatenate([flat[np.repeat(plain, lens)].astype(np.int32), *found.values()])
-        wanted = np.concatenate([wanted[which], wanted[np.array(list(found), np.int64)]])
-        lens = np.concatenate([lens[plain], np.fromiter(map(len, found.values()), np.int64, len(found))])
-        total = int(lens.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(self.used + total, np.int32)])
-        self.start[wanted] = self.used + np.cumsum(lens) - lens
-        self.size[wanted] = lens
-        self.flat[self.used : self.used + total] = flat
-        self.used += total
+            one = flat[start[k] : start[k] + size[k]].tolist() if short[k] else agenda(symbols[ends[k] - sizes[k] : ends[k]].tolist(), int(keys[k]), dropout, v)
+            found.append(np.array(v.spelled(one), np.int32))
+            start[k], size[k] = total, len(found[-1])
+            total += len(found[-1])
+        return np.concatenate([flat.astype(np.int32), *found]), start, size, ~short
+
+    def _put(self, flat: np.ndarray) -> None:
+        """Ids behind those that are kept; they stay only if ``used`` is moved on."""
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + len(flat), np.int32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+
+    def _add(self, new: list[str]) -> None:
+        made: list = []
+        flat, start, size, long = self._segmented(new, np.zeros(len(new), np.uint64), 0.0, made)
+        self._put(flat)
+        self.start, self.size, self.long = (np.concatenate(x) for x in ((self.start, start + self.used), (self.size, size), (self.long, long)))
+        self.used += len(flat)
+        owner, *places = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 4
+        order = np.argsort(owner, kind="stable")
+        n_made = np.zeros(len(new), np.int64)
+        n_made[~long] = np.bincount(owner, minlength=int((~long).sum()))
+        self.first_made = np.concatenate([self.first_made, self.used_made + np.cumsum(n_made) - n_made])
+        self.n_made = np.concatenate([self.n_made, n_made])
+        if self.used_made + len(owner) > self.made.shape[1]:
+            self.made = np.concatenate([self.made, np.zeros((3, self.used_made + len(owner)), np.int32)], axis=1)
+        self.made[:, self.used_made : self.used_made + len(owner)] = np.array(places)[:, order]
+        self.used_made += len(owner)
+
+    def keys(self, names: list[int], sizes: np.ndarray) -> np.ndarray:
+        """A key for every occurrence of a chunk, by the seed, the text's name and the place in the text."""
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = np.repeat(mixed(np.array([n & MASK for n in names], np.uint64) ^ np.uint64(self.seed & MASK), 15), sizes)
+        return mixed(key + place.astype(np.uint64), 16)
+
+    def _changed(self, found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Occurrences that skip a merge of their plain segmentation, and the long ones."""
+        n = self.n_made[found]
+        of = np.repeat(np.arange(len(found)), n)
+        at = np.arange(len(of)) + np.repeat(self.first_made[found] - (np.cumsum(n) - n), n)
+        skipped = _skipped(keys[of], *self.made[:, at], _limit(self.dropout))
+        out = self.long[found]
+        out[of[skipped]] = True
+        return np.flatnonzero(out)
 
     def encode(self, texts: list[str], names: list[int]) -> list[np.ndarray]:
-        """The ids of each text. names: a number for each text, from which its variants are drawn."""
+        """The ids of each text. names: a number for each text, which keys its dropout."""
         split = [CHUNKS.findall(f" {t}") if t else [] for t in texts]
         parts = list(itertools.chain.from_iterable(split))
         if len(self.index) > self.limit:
@@ -245,33 +279,29 @@ class Segmenter:
             unknown = [parts[k] for k in fresh.tolist()]
             new, n = list(dict.fromkeys(unknown)), len(self.index)
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
-            self.chunks += new
-            if (room := (n + len(new)) * self.variants) > len(self.start):
-                self.start = np.concatenate([self.start, np.full(room, -1, np.int64)])
-                self.size = np.concatenate([self.size, np.zeros(room, np.int64)])
+            self._add(new)
             found[fresh] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(len(parts)) - np.repeat(first, sizes)
-        key = np.repeat(mixed(np.array([n & MASK for n in names], np.uint64) ^ np.uint64(self.seed & MASK), 15), sizes)
-        variant = (mixed(key + place.astype(np.uint64), 16) % np.uint64(self.variants)).astype(np.int64)
-        at = found * self.variants + variant
-        if len(wanted := np.unique(at[self.start[at] < 0])):
-            self._work_out(wanted)
-        lens = self.size[at]
+        begin, lens = self.start[found], self.size[found]
+        if self.dropout and len(parts):
+            keys = self.keys(names, sizes)
+            changed = self._changed(found, keys)
+            flat, start, size, _ = self._segmented([parts[k] for k in changed.tolist()], keys[changed], self.dropout)
+            self._put(flat)
+            begin[changed], lens[changed] = start + self.used, size
         ends = np.concatenate([[0], np.cumsum(lens)])
-        flat = self.flat[np.repeat(self.start[at] - ends[:-1], lens) + np.arange(ends[-1])]
-        stops = ends[np.append(first, len(parts))].tolist()
+        flat = self.flat[np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])]
+        stops = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         return [flat[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 @functools.cache
-def segmenter(path: str, dropout: float, seed: int, variants: int) -> Segmenter:
+def segmenter(path: str, dropout: float, seed: int, limit: int = 600_000) -> Segmenter:
     """One for each Python worker, kept from task to task."""
-    return Segmenter(path, dropout, seed, variants)
+    return Segmenter(path, dropout, seed, limit)
 
 
-def encoded(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every row.
 
     A null or empty text has no ids. Rows with the same id and text get the same ids; with
@@ -280,7 +310,7 @@ def encoded(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variant
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = segmenter(model or default_model(), dropout, seed, variants)
+        s = segmenter(model or default_model(), dropout, seed)
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 ids = part.column("doc_id")
@@ -296,7 +326,7 @@ def decoded(coded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of rows of doc_id and ids; no ids give the empty text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = segmenter(model or default_model(), 0.0, 0, 1).vocabulary
+        v = segmenter(model or default_model(), 0.0, 0).vocabulary
         for batch in batches:
             texts = [v.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -304,11 +334,11 @@ def decoded(coded: DataFrame, model: str | None = None) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
 
 
-def round_trips(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None) -> DataFrame:
+def round_trips(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256 and lossless of every row, encoded and decoded in one pass."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = segmenter(model or default_model(), dropout, seed, variants)
+        s = segmenter(model or default_model(), dropout, seed)
         out = s.vocabulary.out
         for batch in batches:
             for part, texts in slices(batch, "_text"):

@@ -277,3 +277,17 @@ def test_merge_dropout(spark, docs, empty):
     flat, sizes = merge_dropout.joint_agenda(ids, n, keys, 0.5, v)
     for k, (stop, size, e, c) in enumerate(zip(np.cumsum(sizes), sizes, np.cumsum(n), n, strict=True)):
         assert flat[stop - size : stop].tolist() == merge_dropout.agenda(ids[e - c : e].tolist(), k, 0.5, v)
+
+
+def test_merge_dropout_decides_for_every_occurrence():
+    s = merge_dropout.Segmenter(merge_dropout.default_model(), 0.1, 3)
+    v, odd = s.vocabulary, [" internationalization", " ☃the", "x" * 60]
+    text = " internationalization the of" * 3000 + "".join(odd)
+    chunks = merge_dropout.CHUNKS.findall(f" {text}")
+    keys = s.keys([7], np.array([len(chunks)])).tolist()
+    each = [v.spelled(merge_dropout.agenda(v.symbols([c])[0].tolist(), k, 0.1, v)) for c, k in zip(chunks, keys, strict=True)]
+    assert s.encode([text], [7])[0].tolist() == [i for x in each for i in x]
+    forms = collections.defaultdict(collections.Counter)
+    for c, x in zip(chunks, each, strict=True):
+        forms[c][tuple(x)] += 1
+    assert len(forms[" internationalization"]) > 20 and len(forms[" the"]) > 1
