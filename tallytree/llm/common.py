@@ -23,6 +23,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def line_words(line: Column) -> Column:
+    """Words of a line; the common case, single spaces between words, needs no regular expression."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | (line == "")
+    for c in "\t\n\v\f\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.array_remove(F.split(line, SPACE), "")).otherwise(F.split(line, " "))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -81,3 +89,41 @@ def table(cells: DataFrame) -> Column:
 def looked_up(bytes_: Column, h: Column) -> Column:
     """The byte of a hash's cell."""
     return F.coalesce(F.ascii(F.substr(bytes_, cell(h) + 1, F.lit(1)).cast("string")), F.lit(0))
+
+
+def level_table(cells: DataFrame) -> Column:
+    """A scalar: an array of one byte for each of CELLS cells, from rows (cell, level) of different cells; 0 where there is none."""
+    every = cells.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("tinyint").alias("level"))
+    rows = every.union(cells.select("cell", F.col("level").cast("tinyint")))
+    # In blocks of 1024 cells first; the one row at the end has the same size for any input.
+    block = rows.groupBy("cell").agg(F.max("level").alias("level")).groupBy(F.shiftright("cell", 10).alias("block"))
+    block = block.agg(F.sort_array(F.collect_list(F.struct("cell", "level"))).alias("all")).select("block", F.col("all.level").alias("levels"))
+    joined = block.agg(F.sort_array(F.collect_list(F.struct("block", "levels"))).alias("all"))
+    return joined.select(F.flatten("all.levels").alias("levels")).scalar()
+
+
+def level_of(levels: Column, h: Column) -> Column:
+    """The byte of a hash's cell."""
+    return F.get(levels, cell(h))
+
+
+#: Bit tables: BLOCKS binaries of 32768 bits each.
+BLOCKS = 256
+
+
+def _bit(h: Column) -> tuple[Column, Column]:
+    return F.pmod(h, F.lit(BLOCKS)).cast("int"), F.pmod(F.shiftright(h, 8), F.lit(32768))
+
+
+def bit_table(hashes: DataFrame) -> Column:
+    """A scalar: bits of fixed number that are set for all hashes (a column h), and by chance for others."""
+    block, bit = _bit(F.col("h"))
+    every = hashes.sparkSession.range(BLOCKS).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("long").alias("bit"))
+    blocks = hashes.select(block.alias("block"), bit.alias("bit")).union(every).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return blocks.agg(F.sort_array(F.collect_list(F.struct("block", "bits"))).alias("all")).select(F.col("all.bits").alias("bits")).scalar()
+
+
+def may_hold(bits: Column, h: Column) -> Column:
+    block, bit = _bit(h)
+    byte = F.conv(F.hex(F.substr(F.get(bits, block), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")) % 2 == 1
