@@ -22,15 +22,14 @@ LAST = 2**63 - 1
 def sketch(text: Column, fraction: float = FRACTION) -> Column:
     """Sorted hashes of the text's 5-word shingles (of all its words, if fewer) below the fraction.
 
-    Should none be below it, the least hash stands in, so only texts without words have an
-    empty sketch.
+    A short text may have none below it: its sketch is empty, so that the sketch of a union is
+    always the union of the sketches.
     """
-    limit = F.lit(-(2**63) + int(2**64 * fraction))
+    limit = F.lit(min(-(2**63) + int(2**64 * fraction), 2**63 - 1))
     w = words(text)
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: i)
     hashes = F.transform(F.array(w), lambda w: F.transform(hashes, lambda i: F.xxhash64(F.slice(w, i, F.lit(SHINGLE)))))[0]
-    few = F.transform(F.array(hashes), lambda h: F.array(F.filter(h, lambda x: x < limit), F.array(F.array_min(h))))[0]
-    few = F.transform(F.array(few), lambda f: F.when(F.size(f[0]) > 0, F.sort_array(F.array_distinct(f[0]))).otherwise(f[1]))[0]
+    few = F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < limit)))
     return F.when(F.size(w) > 0, few).otherwise(F.expr("cast(array() AS array<bigint>)"))
 
 
@@ -63,7 +62,7 @@ def _run_of(key: Column, bounds: list[int]) -> Column:
     return F.when(key < bounds[0], 0).otherwise(F.transform(F.array(coarse), lambda k: k * STEP + F.size(F.filter(F.get(fine, k), lambda b: b <= key)))[0])
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """docs (_id, _text) with the sketch _sketch and, from the next row by id, _next_text and _next_sketch.
 
     Ids are cut at quantiles into runs of about RUN rows; a run is sorted by one task, and its
@@ -83,7 +82,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     twice = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("extra"))))
     twice = twice.otherwise(F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("extra")), F.struct(F.col("_before").alias("run"), F.lit(True).alias("extra"))))
     placed = placed.withColumn("_at", F.explode(twice)).select("_id", "_text", F.col("_at.run").alias("_run"), F.col("_at.extra").alias("_extra"))
-    placed = placed.repartition("_run").withColumn("_sketch", sketch(F.col("_text")))
+    placed = placed.repartition("_run").withColumn("_sketch", sketch(F.col("_text"), fraction))
     order = Window.partitionBy("_run").orderBy("_extra", "_id", "_text")
     found = placed.withColumn("_next", F.lead(F.struct("_text", "_sketch")).over(order)).where("NOT _extra")
     return found.select("_id", "_text", "_sketch", F.col("_next._text").alias("_next_text"), F.col("_next._sketch").alias("_next_sketch"))
@@ -98,7 +97,7 @@ def fingerprinted(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     An only document is its own next. An empty table gives no rows.
     """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    found = with_next(plain).withColumn("n_chars", F.length("_text").cast("long"))
+    found = with_next(plain, fraction).withColumn("n_chars", F.length("_text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("_text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("_next_text", F.lit(1), quarter))
     found = found.withColumn("edited_text", edited).drop("_next_text")

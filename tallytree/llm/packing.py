@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -88,8 +89,10 @@ class WordTokens:
         split = []
         for word in map(bytes.decode, new):
             stem = word.rstrip(MARKS)
-            split.append((stem, word[len(stem) :]) if stem.isalpha() else (word, ""))
-        known = self.learn([w for w in dict.fromkeys(w for w, _ in split) if w.isalpha()])
+            # What a letter becomes when it is normalised may join the marks after it, so only plain letters are split off.
+            plain = stem.isalpha() and all(map(str.isalpha, unicodedata.normalize("NFC", stem).lower()))
+            split.append((stem, word[len(stem) :]) if plain else (word, ""))
+        known = self.learn([w for w in dict.fromkeys(w for w, tail in split if tail or w.isalpha() and all(map(str.isalpha, unicodedata.normalize("NFC", w).lower())))])
         for part in {x for pair in split for x in pair}:
             if part not in known:
                 known[part] = self.ids(part)

@@ -20,6 +20,8 @@ from tallytree.llm.common import documents, put_back, set_aside
 #: Code points of text before and after a span that are searched for context words.
 BEFORE, AFTER = 48, 24
 CONTEXT_GAIN = 0.3
+#: Words nearby that make a span less likely to be someone's data.
+LOWERS = "example|sample|dummy|placeholder"
 
 
 def _digits(m: Column) -> Column:
@@ -94,8 +96,9 @@ def _located(text: Column, matches: Column, kind: Kind) -> Column:
     def step(acc: Column, row: Column) -> Column:
         start = acc["at"] + row["p"]["n"]
         end = start + F.length(row["m"])
-        told = F.concat_ws(" ", row["p"]["before"], row["a"]).rlike(rf"(?i)\b(?:{kind.context})")
-        score = F.lit(kind.prior) + F.when(told, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        near = F.concat_ws(" ", row["p"]["before"], row["a"])
+        raises, lowers = (F.when(near.rlike(rf"(?i)\b(?:{words})"), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)) for words in (kind.context, LOWERS))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.prior) + raises - lowers))
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"), row["m"].alias("m"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
@@ -106,8 +109,10 @@ def with_spans(docs: DataFrame, least_score: float = 0.6) -> DataFrame:
     """docs with _spans: array of kind, start, end, score, by kind in the order of KINDS, then start.
 
     Base kinds are always kept; the others if checksum and context bring them to least_score.
-    A null text has no spans. All columns of docs stay; repeated rows are kept.
+    A null text has no spans. All columns of docs stay, but for one named _spans, which is
+    replaced; repeated rows are kept.
     """
+    columns, docs = [c for c in docs.columns if c != "_spans"], set_aside(docs, "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() AS array<string>)")
     found = docs.withColumns({f"_m_{k.name}": F.when(k.possible(text), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for k in KINDS})
@@ -120,7 +125,8 @@ def with_spans(docs: DataFrame, least_score: float = 0.6) -> DataFrame:
             spans = F.filter(spans, lambda s: s["score"] >= least_score)
         spans = F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "score"))))
         parts.append(F.when(F.size(matches) > 0, spans).otherwise(no_span))
-    return found.withColumn("_spans", F.concat(*parts)).drop(*(f"_m_{k.name}" for k in KINDS))
+    found = found.select("text", "_all", F.concat(*parts).alias("_spans"))
+    return found.select(*(F.col("text") if c == "text" else F.col("_all").getField(c).alias(c) for c in columns), "_spans")
 
 
 def written(spans: Column) -> Column:
@@ -147,5 +153,6 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_spans(documents(spark, sf_dir).select("doc_id", "text"))
     base = [k.name for k in KINDS if k.base]
     counts = [F.size(F.filter(F.transform("_spans", lambda s: s["kind"]), lambda k: k == F.lit(n))).cast("long").alias(f"n_{n}") for n in base]  # noqa: B023
+    scores = F.array_join(F.transform("_spans", lambda s: F.format_number(s["score"], 2)), ",")
     known = F.filter("_spans", lambda s: s["kind"].isin(*base))
-    return found.select("doc_id", *counts, F.sha2(written(known), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(known), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"), scores.alias("scores"))

@@ -1,6 +1,6 @@
 """Quality rules: base counts of a text, and lines that too many documents of one host share.
 
-Everything is SQL functions. Lines are normalised and hashed; the different documents that
+Everything is SQL functions. Lines are normalised and hashed; the documents that
 hold a line are counted per host; lines above the limit are taken out, and documents that lose most of
 their words are rejected. Counts are combined before the shuffle, and hosts or lines with a
 great many rows are split by adaptive joins, since only sums are formed per line.
@@ -18,12 +18,14 @@ from tallytree.llm.common import SPACE, cell, documents, looked_up, put_back, se
 
 @dataclass(frozen=True)
 class Limits:
-    """max_documents, max_share: a line is excess if more different documents of a host hold it
-    than both this many and this share of the host's different documents. least_kept: share of a document's words
-    that must remain. base limits: words, percentage of words in repeated windows."""
+    """max_documents, max_share, always_documents: a line is excess if more documents of a host
+    hold it than both max_documents and max_share of the host's documents, and always above
+    always_documents, however large the host. least_kept: share of a document's words that
+    must remain. base limits: words, percentage of words in repeated windows."""
 
     max_documents: int = 20
     max_share: float = 0.01
+    always_documents: int = 200
     least_kept: float = 0.3
     least_words: int = 20
     most_repeat_percent: int = 30
@@ -97,14 +99,13 @@ def _key() -> list[Column]:
 def excess_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(_id, _row, _places, _lost): places of the lines above the limit in each document, and their words."""
     host = F.coalesce(F.col("source"), F.lit(""))
-    kept = docs.select(*_key(), F.xxhash64(host).alias("_host"), F.xxhash64("text").alias("_text"), lines(F.col("text")).alias("_lines"))
-    in_documents = kept.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", line_hash))).alias("_hash")).where("_hash IS NOT NULL")
-    # Most lines fall below the limit by their rows alone; only for the others are different texts counted.
-    often = in_documents.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limits.max_documents)
-    different = in_documents.join(often, ["_host", "_hash"], "left_semi").groupBy("_host", "_hash", "_text").agg(F.lit(1).alias("_one"))
-    per_line = different.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_documents"))
-    hosts = kept.groupBy("_host", "_text").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
-    above = per_line.join(hosts, "_host").where((F.col("_documents") > limits.max_documents) & (F.col("_documents") > limits.max_share * F.col("_all")))
+    kept = docs.select(*_key(), F.xxhash64(host).alias("_host"), lines(F.col("text")).alias("_lines"))
+    in_documents = kept.select("_host", F.explode(F.array_distinct(F.transform("_lines", line_hash))).alias("_hash")).where("_hash IS NOT NULL")
+    # A row holds a line once, so rows are documents; their counts are combined before the shuffle.
+    often = in_documents.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_documents")).where(F.col("_documents") > limits.max_documents)
+    hosts = kept.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
+    share = F.least(limits.max_share * F.col("_all"), F.lit(float(limits.always_documents)))
+    above = often.join(hosts, "_host").where(F.col("_documents") > share)
     above = stored(above.select("_host", "_hash"), "above")
     # A table of fixed size tells most other lines from these before their words are counted.
     bits = table(above.select(cell(F.col("_hash")).alias("cell"), F.lit(1).alias("level")).distinct())
@@ -122,9 +123,8 @@ def judged(docs: DataFrame, limits: Limits = LIMITS, with_text: bool = False) ->
 
     A document is kept if it passes the base rules and at least ``least_kept`` of its words
     are in lines below the limit. A null source is a host of its own, a null or empty text
-    fails for want of words. Documents of one host with the same text count as one, so exact
-    copies do not make each other's lines frequent; repeated rows are judged alike. The
-    text loses its excess lines. Other columns of docs go into the struct _all.
+    fails for want of words. Each row is a document, exact copies and repeated rows too, and
+    equal rows are judged alike. The text loses its excess lines. Other columns of docs go into the struct _all.
     """
     docs = set_aside(docs, *USED)
     counted = base_counts(docs, limits).withColumns({"_id": _key()[0], "_row": _key()[1]})

@@ -324,7 +324,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     told = docs.join(known, "doc_id", "left").withColumn("_toxic", F.when(~F.col("_held"), F.col("_toxic")))
     odds = cell_odds(told.where("_toxic IS NOT NULL"), model)
     rows = stored(document_features(told, model, odds), "toxicity")
-    sample = rows.where("_toxic IS NOT NULL").select("_s", "_toxic").limit(2 * MOST_LABELLED).toArrow()
+    # One row for each labelled id, the highest scored one, so MOST_LABELLED bounds what is collected.
+    sample = rows.where("_toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("_s", "_toxic")).alias("r")).select("r.*").toArrow()
     y = sample.column("_toxic").to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         x, weights = None, np.append(np.zeros(TOP), math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))

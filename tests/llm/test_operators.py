@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -119,10 +120,10 @@ def test_toxicity(spark, empty):
 def test_personal_data(spark, empty):
     t = "mail é bob@site.org or +49 (30) 123-4567, card 4111 1111 1111 1111, ip 10.0.0.300 and 10.0.0.7. IBAN account DE89370400440532013000"
     docs = spark.createDataFrame([(1, t, "x"), (2, None, "x"), (3, "", "x"), (4, "4111111111111112", "x")], "doc_id long, text string, _m_email string")
-    got = {r.doc_id: [(s.kind, t[s.start : s.end]) for s in r._spans] for r in personal_data.with_spans(docs.drop("_m_email")).collect()}
+    got = {r.doc_id: [(s.kind, t[s.start : s.end]) for s in r._spans] for r in personal_data.with_spans(docs).collect()}
     assert got[1] == [("email", "bob@site.org"), ("ip", "10.0.0.7"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 123-4567"), ("iban", "DE89370400440532013000")]
     assert got[2] == got[3] == got[4] == []
-    assert "[email]" in personal_data.redacted(docs.drop("_m_email")).where("doc_id = 1").first().text
+    assert "[email]" in personal_data.redacted(docs).where("doc_id = 1").first().text
     assert personal_data.with_spans(empty).count() == 0
 
 
@@ -142,10 +143,9 @@ def line_brute(rows):
     return exp
 
 
-@pytest.mark.parametrize("small", [512, 2])
-def test_line_dedup(spark, empty, monkeypatch, small):
-    monkeypatch.setattr(line_dedup, "SMALL", small)
-    monkeypatch.setattr(line_dedup, "EXACT", 1 if small == 2 else 32)
+@pytest.mark.parametrize("exact", [32, 1])
+def test_line_dedup(spark, empty, monkeypatch, exact):
+    monkeypatch.setattr(line_dedup, "EXACT", exact)
     rng = np.random.default_rng(7)
     lines = []
     for _ in range(12):
@@ -161,7 +161,7 @@ def test_line_dedup(spark, empty, monkeypatch, small):
     got = {r.d: list(r.gone) for r in line_dedup.removed_lines(docs).collect()}
     exp = line_brute(rows)
     assert {i: g for i, g in exp.items() if g} == got
-    if small == 512:
+    if exact == 32:
         kept = {r.doc_id: r.text for r in line_dedup.without_later_lines(docs).collect()}
         for i, t in rows:
             assert kept[i] == (t if not exp[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in exp[i]))
@@ -291,3 +291,40 @@ def test_merge_dropout_decides_for_every_occurrence():
     for c, x in zip(chunks, each, strict=True):
         forms[c][tuple(x)] += 1
     assert len(forms[" internationalization"]) > 20 and len(forms[" the"]) > 1
+
+
+def test_letters_that_change_when_normalised():
+    """Ids of whole words equal the tokenizer's, where lower-casing makes marks."""
+    table = packing.WordTokens(packing.default_tokenizer())
+    texts = ["\u0130,", "a\u0130.) b", "\u01c5;", "cafe\u0301, caf\u00e9,", "\ufb01ne. \u1e9e!", "x\u0345, \u03b1\u0345."]
+    for text, ids in zip(texts, table.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == table.ids(text), text
+
+
+def test_fingerprints_follow_the_fraction(spark):
+    """Every sketch, the next document's too, holds the hashes below the given fraction and no other."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (0, 3, 60, 400, 401)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, half = ({r.doc_id: r for r in fingerprints.fingerprinted(docs, f).collect()} for f in (1.0, 0.25))
+    for i, text in enumerate(texts):
+        w = text.split()
+        every = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        all_hashes = set(filter(None, whole[i].fingerprint.split(",")))
+        few = set(filter(None, half[i].fingerprint.split(",")))
+        assert len(all_hashes) == len(every)
+        limit = -(2**63) + 2**62
+        assert few == {h for h in all_hashes if int(h, 16) - (1 << 64) * (int(h, 16) >> 63) < limit}
+        after = set(filter(None, half[(i + 1) % len(texts)].fingerprint.split(",")))
+        union = len(few | after)
+        assert abs(half[i].near_next - (len(few & after) / union if union else 1.0)) < 1e-12
+
+
+def test_lines_of_rows_with_one_id_or_none(spark):
+    """Texts that share an id, or have none, keep lines that only others lose."""
+    a, b = "one two three four five", "six seven eight nine ten"
+    docs = spark.createDataFrame([(1, a), (None, f"{a}\n{b}"), (None, f"{b} eleven\nother words stay here now"), (2, None), (2, "")], "doc_id long, text string")
+    got = sorted((r.text or "") for r in line_dedup.without_later_lines(docs).where("doc_id IS NULL").collect())
+    both = "\n".join(got)
+    assert a not in both and "other words stay here now" in both
+    assert (b in both.split("\n")) != (f"{b} eleven" in both)
