@@ -38,21 +38,21 @@ class Hierarchy:
     @cached_property
     def is_strict(self) -> bool:
         """Whether every node has at most one parent and every level covers all bottom series once."""
-        parents = self.edges.groupBy("child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        parents = self.edges.groupBy("child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n")
         at = self.summing.join(self.nodes.select("unique_id", "level_ord"), "unique_id")
-        several = at.groupBy("bottom_id", "level_ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        covered = at.groupBy("bottom_id").agg(F.count_distinct("level_ord").alias("n")).where(F.col("n") < len(self.levels))
-        return parents.isEmpty() and several.isEmpty() and covered.isEmpty()
+        several = at.groupBy("bottom_id", "level_ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n")
+        covered = at.groupBy("bottom_id").agg(F.count_distinct("level_ord").alias("n")).where(F.col("n") < len(self.levels)).select("n")
+        return parents.union(several).union(covered).isEmpty()
 
     def check_bottom_identity(self) -> bool:
         """Whether each bottom series is made of itself alone, once."""
         bottom = self.nodes.where("is_bottom").select("unique_id")
         rows = self.summing.join(bottom, "unique_id")
-        wrong = rows.where("NOT unique_id <=> bottom_id OR weight <> 1")
+        wrong = rows.where("NOT unique_id <=> bottom_id OR weight <> 1").select("unique_id")
         counts = rows.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n"))
         missing = bottom.join(counts.where("n = 1"), "unique_id", "left_anti")
-        outside = self.summing.join(bottom.withColumnRenamed("unique_id", "bottom_id"), "bottom_id", "left_anti")
-        return wrong.isEmpty() and missing.isEmpty() and outside.isEmpty()
+        outside = self.summing.join(bottom.withColumnRenamed("unique_id", "bottom_id"), "bottom_id", "left_anti").select("unique_id")
+        return wrong.union(missing).union(outside).isEmpty()
 
     @property
     def shape(self) -> tuple[int, int]:

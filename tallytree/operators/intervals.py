@@ -87,12 +87,36 @@ def hashed_normal(seed: int, *keys: str) -> Column:
     return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
 
 
-def normal_samples(rec: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n draws of each reconciled forecast: unique_id, ds, model, sample_id, yhat."""
+def independent_samples(rec: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n draws of each forecast (yhat, sigma) by itself: unique_id, ds, model, sample_id, yhat."""
     each = rec.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return each.select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("sigma") * hashed_normal(seed, "unique_id", "ds", "model", "sample_id")).alias("yhat"))
 
 
+def normal_samples(h: Hierarchy, method: Method, fcst: DataFrame, sigma: DataFrame, fitted: DataFrame | None, n: int, seed: int = 0, kind: str | None = None) -> DataFrame:
+    """n coherent draws of the reconciled forecasts: unique_id, ds, model, sample_id, yhat.
+
+    The forecasts' own errors are drawn and mapped as the forecasts are. kind: None for
+    uncorrelated errors; ``full`` or ``shrink`` gives them the correlation of the errors in
+    sample, by normal weights on the times in sample, so no row per pair of series is made.
+    """
+    draws = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id")
+    each = fcst.join(sigma, ["unique_id", *BY]).select("unique_id", *BY, "yhat", "sigma", draws)
+    own = hashed_normal(seed, "unique_id", "ds", "model", "sample_id")
+    if kind is None:
+        z = own
+    else:
+        past = C.centred(C.errors(fitted))
+        lam = C.shrinkage(past).select("model", "lam") if kind == "shrink" else past.select("model", F.lit(0.0).alias("lam")).distinct()
+        past = past.where("var > 1e-16").select("model", "unique_id", F.col("ds").alias("_t"), (F.col("c") / F.sqrt(F.col("var") * (F.col("T") - 1))).alias("_x"))
+        grid = each.select(*BY, "sample_id").distinct().join(past.select("model", "_t").distinct(), "model").withColumn("_g", hashed_normal(seed, "_t", "ds", "model", "sample_id"))
+        common = grid.join(past, ["model", "_t"]).groupBy("unique_id", *BY, "sample_id").agg(F.sum(F.col("_g") * F.col("_x")).alias("_z"))
+        each = each.join(common, ["unique_id", *BY, "sample_id"], "left").join(lam, "model")
+        z = F.when(F.col("_z").isNull(), own).otherwise(F.sqrt(1 - F.col("lam")) * F.col("_z") + F.sqrt("lam") * own)
+    drawn = each.select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("sigma") * z).alias("yhat"))
+    return method.mapped(h, drawn, fitted, [*BY, "sample_id"])
+
+
 def residual_rows(fitted: DataFrame) -> DataFrame:
     """(model, unique_id, ordinal from 0, e) over the times where all series of a model have errors."""
     e = C.errors(fitted)
@@ -182,7 +206,7 @@ def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataF
     chosen = h.spark.range(1).select(pick)
     ranks = res.join(F.broadcast(chosen), "ordinal")  # a row per sample
     ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("model", "unique_id").orderBy("e", "sample_id")) - 1).select("model", "unique_id", "sample_id", "rank")
-    draws = normal_samples(rec.select("unique_id", *BY, "yhat").join(sigma, ["unique_id", *BY]), n, seed)
+    draws = independent_samples(rec.select("unique_id", *BY, "yhat").join(sigma, ["unique_id", *BY]), n, seed)
     at = draws.join(h.nodes.select("unique_id", "level_ord"), "unique_id")
     edges = h.edges.select("parent_id", F.col("child_id").alias("unique_id"))
 

@@ -12,15 +12,19 @@ from pyspark.sql.types import NumericType
 
 from tallytree.functions.naming import is_model, level_outputs, tick
 from tallytree.hierarchy import Hierarchy
+from tallytree.operators import covariance as C
 from tallytree.operators import intervals as I
 from tallytree.operators.evaluate import diagnostics as diagnosed
 from tallytree.operators.reconcile import need_strict
 from tallytree.operators.reconcilers import Method
+from tallytree.session import settled
 
 INTERVALS = ("normality", "bootstrap", "permbu", "conformal")
 #: Draws behind bootstrap and copula intervals; num_samples only sets the sample columns.
 DRAWS = 200
 BY = ["ds", "model"]
+#: Methods whose weights correlate the errors, and how their correlation is estimated.
+KINDS = {"mint_cov": "full", "mint_shrink": "shrink"}
 
 
 def long_forecasts(df: DataFrame, models: list[str], id_col: str, time_col: str) -> DataFrame:
@@ -100,9 +104,13 @@ class HierarchicalReconciliation:
         if y is not None:
             own = y.select(F.col(tick(id_col)).alias("_id")).distinct()
             pairs += [("the values in sample", "the forecasts", own, present), ("the forecasts", "the values in sample", present, own)]
-        for a, b, left, right in pairs:
-            if some := [r[0] for r in left.join(right, "_id", "left_anti").limit(5).collect()]:
-                raise ValueError(f"There are ids in {a} that are not in {b}: {some}")
+        lost = None  # all differences in one job
+        for k, (_, _, left, right) in enumerate(pairs):
+            one = left.join(right, "_id", "left_anti").limit(5).select(F.lit(k).alias("k"), F.col("_id").cast("string").alias("_id"))
+            lost = one if lost is None else lost.union(one)
+        if some := sorted(tuple(r) for r in lost.collect()):
+            a, b = pairs[some[0][0]][:2]
+            raise ValueError(f"There are ids in {a} that are not in {b}: {[i for k, i in some if k == some[0][0]]}")
         strict = [r.name for r in self.reconcilers if r.strict]
         if strict or (level and method == "permbu"):
             need_strict(h, strict or ["PERMBU"])
@@ -134,8 +142,8 @@ class HierarchicalReconciliation:
             fcst = long_forecasts(wide, models, id_time_col, "_series")
         else:
             fcst = long_forecasts(Y_hat_df, models, id_col, time_col)
-        fcst = fcst.cache()
-        fitted = None if Y_df is None else long_fitted(Y_df, [m for m in models if m in Y_df.columns], id_col, time_col, target_col).cache()
+        fcst = settled(fcst, "forecasts")
+        fitted = None if Y_df is None else settled(long_fitted(Y_df, [m for m in models if m in Y_df.columns], id_col, time_col, target_col), "fitted")
         found, names = None, []
         for r in self.reconcilers:
             began = time.time()
@@ -152,7 +160,8 @@ class HierarchicalReconciliation:
                 self.level_names[out] = [out + x for x in q]
                 self.sample_names[out] = [f"{out}-sample-{k}" for k in range(num_samples)] if num_samples > 0 and level else []
                 names.append((out, m, r.name))
-            one = rec.withColumn("_rec", F.lit(r.name))
+            # Written once: the columns, the diagnostics and every later plan start from here.
+            one = settled(rec, "reconciled").withColumn("_rec", F.lit(r.name))
             found = one if found is None else found.unionByName(one, allowMissingColumns=True)
         cells = found.withColumn("_column", F.concat_ws("/", "model", "_rec"))
         wide = self._wide(cells, [n[0] for n in names], level, num_samples)
@@ -210,7 +219,9 @@ class HierarchicalReconciliation:
         if method == "permbu":
             samples = I.permbu_samples(h, rec, sigma, fitted, DRAWS, seed)
             return rec.join(I.quantiles_of(samples, qs), ["unique_id", *BY])
-        return I.normal_quantiles(I.normality(h, r, rec, sigma, fitted), qs).drop("sigma")
+        kind = KINDS.get(getattr(r, "method", ""))
+        correlation = I.correlations(fitted, kind, getattr(r, "mint_shr_ridge", C.RIDGE)) if kind else None
+        return I.normal_quantiles(I.normality(h, r, rec, sigma, fitted, correlation), qs).drop("sigma")
 
     def _samples(self, r, h, wide, fcst, fitted, rec, models, method, n, seed, id_col, time_col) -> DataFrame:
         mean = rec.select("unique_id", *BY, "yhat")
@@ -220,7 +231,7 @@ class HierarchicalReconciliation:
             s = I.bootstrap_samples(h, r, fcst, fitted, n, seed)
         else:
             sigma = self._sigma(wide, models, id_col, time_col)
-            s = I.permbu_samples(h, mean, sigma, fitted, n, seed) if method == "permbu" else I.normal_samples(I.normality(h, r, mean, sigma, fitted), n, seed)
+            s = I.permbu_samples(h, mean, sigma, fitted, n, seed) if method == "permbu" else I.normal_samples(h, r, fcst, sigma, fitted, n, seed, KINDS.get(getattr(r, "method", "")))
         packed = s.groupBy("unique_id", *BY).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "yhat"))), lambda x: x["yhat"]).alias("samples"))
         return rec.join(packed, ["unique_id", *BY])
 

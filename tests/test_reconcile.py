@@ -6,7 +6,7 @@ import pytest
 
 from tallytree.operators import aggregate as A
 from tallytree.operators import covariance as C
-from tallytree.operators import mintrace
+from tallytree.operators import intervals, mintrace
 from tallytree.operators import reconcilers as K
 from tallytree.operators.dense import lasso, nnls
 from tallytree.plans.reconciliation import HierarchicalReconciliation
@@ -239,3 +239,29 @@ def test_errors(spark, tree):
         HierarchicalReconciliation([K.MinTrace("wls_var")]).reconcile(frame, h)
     with pytest.raises(NotImplementedError):
         engine.reconcile(frame, h, frame, temporal=True)
+
+
+def test_gaussian_samples_are_coherent_and_weights_correlate(spark, tree):
+    """Draws add up along the tree; bounds of mint_shrink use the correlation of its weights."""
+    h, s, ids, y_hat, y, fit, *_ = tree
+    rows = [(ids[i], k, "m", float(y_hat[i, k]), 1.0 + i) for i in range(len(ids)) for k in range(1)]
+    base = spark.createDataFrame(rows, "unique_id string, ds long, model string, yhat double, sigma double")
+    fcst, sigma = base.drop("sigma"), base.drop("yhat")
+    fitted = spark.createDataFrame([(ids[i], k, "m", float(y[i, k]), float(fit[i, k])) for i in range(len(ids)) for k in range(T)], "unique_id string, ds long, model string, y double, yhat double")
+    method = K.MinTrace("mint_shrink")
+    got = intervals.normal_samples(h, method, fcst, sigma, fitted, 3, 1, "shrink").toPandas()
+    assert len(got) == 3 * len(ids)
+    for _, one in got.groupby("sample_id"):
+        v = one.set_index("unique_id").yhat[ids].to_numpy()
+        assert np.allclose(v, s @ v[-s.shape[1] :], atol=1e-6)
+    m = np.zeros((len(ids), len(ids)))
+    for r in K.linear_map(method, h, fitted, ["m"]).collect():
+        m[ids.index(r.unique_id), ids.index(r.source)] = r.x
+    corr = np.eye(len(ids))
+    pairs = intervals.correlations(fitted, "shrink")
+    for r in pairs.collect():
+        corr[ids.index(r.id1), ids.index(r.id2)] = corr[ids.index(r.id2), ids.index(r.id1)] = r.r
+    sd = np.array([1.0 + i for i in range(len(ids))])
+    want = np.sqrt(np.diag(m @ (corr * np.outer(sd, sd)) @ m.T))
+    told = {r.unique_id: r.sigma for r in intervals.normality(h, method, method.mean(h, fcst, fitted, BY), sigma, fitted, pairs).collect()}
+    assert np.allclose([told[i] for i in ids], want)
