@@ -147,7 +147,7 @@ class HierarchicalReconciliation:
         found, names = None, []
         for r in self.reconcilers:
             began = time.time()
-            rec = r.mean(h, fcst, fitted, BY)
+            rec = settled(r.mean(h, fcst, fitted, BY), "means")
             if level:
                 rec = self._intervals(r, h, Y_hat_df, fcst, fitted, rec, models, level, intervals_method, seed, id_col, time_col)
             if num_samples > 0 and level:
