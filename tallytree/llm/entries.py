@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallytree.llm import fingerprints, jaccard_join, line_dedup, merge_dropout, ngram_lm, packing, personal_data, quality_rules, substring_dedup, toxicity
+from tallytree.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,4 +17,5 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_merge_dropout": merge_dropout.op10_merge_dropout,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

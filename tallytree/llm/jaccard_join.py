@@ -206,11 +206,11 @@ def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row.
+    """doc_id, n_shingles, component_id and n_known_links of every row.
 
     Words are split at ASCII white space, A-Z lower-cased; sets hold 5-word shingles, the
     whole text if it has fewer words. component_id is the least doc_id reachable over links
-    of similarity 0.8 or more; n_links counts the different shingle sets a set is known to
+    of similarity 0.8 or more; n_known_links counts the different shingle sets a set is known to
     be linked with (links inside one long list's component are not all listed). Rows without
     words link with nothing and stand for themselves. Repeated rows are copies. A null id
     counts as the largest. Other columns are ignored; an empty table gives no rows.
@@ -281,13 +281,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = stored(edges.union(more).distinct(), "links")
     groups = components(edges)
 
-    ends = edges.select(F.col("u").alias("sid")).union(edges.select("v")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = edges.select(F.col("u").alias("sid")).union(edges.select("v")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_known_links"))
     of_set = sets.join(groups.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").join(ends, "sid", "left")
-    of_set = of_set.select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_doc")
+    of_set = of_set.select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("n_known_links", F.lit(0)).alias("n_known_links"), "first_doc")
     least = of_set.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_set = of_set.join(least, "root").select("sid", "component_id", "n_links")
-    found = told.where("n_shingles > 0").join(of_set, "sid").select("doc_id", "n_shingles", "component_id", "n_links")
-    alone = told.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    of_set = of_set.join(least, "root").select("sid", "component_id", "n_known_links")
+    found = told.where("n_shingles > 0").join(of_set, "sid").select("doc_id", "n_shingles", "component_id", "n_known_links")
+    alone = told.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_known_links"))
     return found.union(alone)
 
 
@@ -298,4 +298,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
