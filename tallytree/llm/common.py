@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Cells of the tables that are looked up by hash; their size does not depend on the input.
 CELLS = 1 << 20
+#: Spark's setting that removes an execution's shuffle files when it ends.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +67,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it again, which cuts its lineage.
+
+    Nothing needs the shuffle files of the write after it, so they go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREES, None)
+    spark.conf.set(FREES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cell(h: Column) -> Column:
