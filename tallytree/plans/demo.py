@@ -12,8 +12,6 @@ from tallytree.operators.aggregate import aggregate
 from tallytree.session import settled
 
 HORIZON = 4
-#: The time after the last whole quarter of the orders.
-END = "2001-07-01"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,8 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """total, region, nation, segment, ds (quarter), y (cents) of every order; small tables join by size."""
-    orders = read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(END).cast("timestamp_ntz"))
-    joined = orders.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     quarter = F.date_trunc("quarter", F.col("o_orderdate")).cast("date")
     return joined.select(F.lit("total").alias("total"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"), quarter.alias("ds"), F.round(F.col("o_totalprice") * 100).cast("long").alias("y"), "o_custkey")
 
