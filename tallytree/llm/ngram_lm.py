@@ -35,9 +35,9 @@ END = mixed(np.zeros(1, np.uint64), 99)[0]
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of the tables that tell n-grams which were surely not kept.
 BITS = 25
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Tokens of the training texts for each range of hashes that is added up.
-PART = 1 << 20
+PART = 1 << 19
 #: Shares of the chunks that ask one after another, so that a share of the questions lies on disk at a time.
 SHARES = 3
 
@@ -125,7 +125,7 @@ def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return key, a[at], b[at], np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
 
 
-def _adding(parts_of, sent, most: int = 1_500_000):
+def _adding(parts_of, sent, most: int = 750_000):
     """A task's work that adds n-grams up and sends them, ``most`` keys at a time.
 
     parts_of(tokens, begins) gives key, a and b of a run of rows; sent(key, a, b, n) makes a batch.
