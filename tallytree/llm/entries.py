@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from tallytree.llm import fingerprints, jaccard_join, line_dedup, merge_dropout, ngram_lm, packing, personal_data, quality_rules, substring_dedup, toxicity
-from tallytree.llm.oracles import ORACLES
+from tallytree.llm import chat_format, fingerprints, jaccard_join, lexical_search, line_dedup, manifest_oracles, merge_dropout, merkle_manifest, ngram_lm, oracles, packing, personal_data, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +15,10 @@ QUERIES = {
     "op8_lm_scoring": ngram_lm.op8_lm_scoring,
     "op9_packing": packing.op9_packing,
     "op10_merge_dropout": merge_dropout.op10_merge_dropout,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
+ORACLES = {**oracles.ORACLES, **manifest_oracles.ORACLES}
 
 __all__ = ["ORACLES", "QUERIES"]
