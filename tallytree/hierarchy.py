@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallytree.functions.ordering import ranked
 from tallytree.session import settled
 
 NODES = "unique_id string, level string, level_ord int, pos long, is_bottom boolean"
@@ -35,6 +36,35 @@ class Hierarchy:
         child = at.select(F.col("unique_id").alias("child_id"), "bottom_id", F.col("level_ord").alias("_at"))
         return parent.join(child, ["bottom_id", "_at"]).select("parent_id", "child_id").distinct()
 
+    @cached_property
+    def parents(self) -> DataFrame:
+        """unique_id, level_ord, parent_id; for strict hierarchies a row for each node."""
+        up = self.edges.select("parent_id", F.col("child_id").alias("unique_id"))
+        return self.nodes.select("unique_id", "level_ord").join(up, "unique_id", "left")
+
+    @cached_property
+    def chain(self) -> Hierarchy:
+        """The levels that form a tree down to the bottom series, taken from fine to coarse, as a hierarchy of their own."""
+        at = self.summing.join(self.nodes.select("unique_id", "level_ord"), "unique_id")
+        fine = at.select("bottom_id", F.col("level_ord").alias("_fine"), F.col("unique_id").alias("_id"))
+        pairs = at.join(fine, "bottom_id").where("level_ord < _fine").groupBy("level_ord", "_fine", "_id").agg(F.count_distinct("unique_id").alias("n"), F.count("unique_id").alias("rows"))
+        nested = pairs.groupBy("level_ord", "_fine").agg(F.max("n").alias("n"), F.sum("rows").alias("rows"))
+        covered = at.groupBy("level_ord").agg(F.count(F.lit(1)).alias("rows"))
+        told = {(r.level_ord, r["_fine"]): (r.n, r.rows) for r in nested.collect()}  # a row for each pair of levels
+        rows = {r.level_ord: r.rows for r in covered.collect()}
+        last = len(self.levels) - 1
+        kept = [last]
+        for k in range(last - 1, -1, -1):
+            if told.get((k, kept[0])) == (1, rows[last]) and rows.get(k) == rows[last]:
+                kept.insert(0, k)
+        if len(kept) == len(self.levels):
+            return self
+        place = F.create_map(*(F.lit(x) for new, old in enumerate(kept) for x in (old, new)))
+        nodes = self.nodes.where(F.col("level_ord").isin(kept)).withColumn("level_ord", F.element_at(place, F.col("level_ord")))
+        found = Hierarchy(nodes, self.summing.join(nodes.select("unique_id"), "unique_id", "left_semi"), tuple(self.levels[k] for k in kept)).settle()
+        found.__dict__["is_strict"] = True
+        return found
+
     @cached_property
     def is_strict(self) -> bool:
         """Whether every node has at most one parent and every level covers all bottom series once."""
@@ -92,6 +122,7 @@ class Hierarchy:
         """The same hierarchy as written tables, so that the plans over it stay short."""
         h = Hierarchy(settled(self.nodes, "nodes"), settled(self.summing, "summing"), self.levels)
         h.__dict__["edges"] = settled(Hierarchy.edges.func(h), "edges")
+        h.__dict__["parents"] = settled(Hierarchy.parents.func(h), "parents")
         return h
 
     def unpersist(self) -> None:
@@ -100,8 +131,8 @@ class Hierarchy:
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
-    """nodes with pos: 1, 2, ... by id in each level."""
-    return nodes.withColumn("pos", F.row_number().over(Window.partitionBy("level_ord").orderBy("unique_id")).cast("long"))
+    """nodes with pos: 1, 2, ... by id in each level; a level may lie in any number of tasks."""
+    return ranked(nodes, ["level_ord"], ["unique_id"]).withColumn("pos", F.col("rank") + 1).drop("rank", "n")
 
 
 def from_tags(spark: SparkSession, wide: DataFrame, tags: dict[str, list[str]], id_col: str = "unique_id") -> Hierarchy:

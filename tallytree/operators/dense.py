@@ -13,7 +13,7 @@ def nnls(a: np.ndarray, c: np.ndarray, tolerance: float = 1e-10, rounds: int | N
     for _ in range(rounds or 10 * n + 10):
         slope = c - a @ x
         if free.all() or (slope[~free] <= tolerance * scale).all():
-            break
+            return x
         free[np.flatnonzero(~free)[slope[~free].argmax()]] = True
         while True:
             s = np.zeros(n)
@@ -26,7 +26,7 @@ def nnls(a: np.ndarray, c: np.ndarray, tolerance: float = 1e-10, rounds: int | N
             x = x + step * (s - x)
             free &= x > tolerance
             x[~free] = 0
-    return x
+    raise ValueError("Non-negative least squares have not converged; the matrix may be ill-conditioned.")
 
 
 def lasso_kronecker(s: np.ndarray, f: np.ndarray, z: np.ndarray, lam: float, rounds: int = 1000, tolerance: float = 1e-4) -> np.ndarray:

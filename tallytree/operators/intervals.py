@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from tallytree.functions.naming import level_quantiles
 from tallytree.hierarchy import Hierarchy
 from tallytree.operators import covariance as C
+from tallytree.operators.mintrace import has_gaps
+from tallytree.operators.projection import correlation as factor_correlation
+from tallytree.operators.projection import factor
 from tallytree.operators.reconcile import need_strict
-from tallytree.operators.reconcilers import BottomUp, Method, linear_map
+from tallytree.operators.reconcilers import BottomUp, Fitted, Method, TopDown, as_fitted, linear_map, models_of
+from tallytree.session import settled
 
 BY = ["ds", "model"]
 
@@ -39,37 +43,56 @@ def sigma_from_bounds(pairs: list[tuple[float, Column, Column]]) -> Column:
     return F.greatest(total / len(usable), F.lit(0.0))
 
 
-def normality(h: Hierarchy, method: Method, rec: DataFrame, sigma: DataFrame, fitted: DataFrame | None, correlation: DataFrame | None = None) -> DataFrame:
+def normality(h: Hierarchy, method: Method | Fitted, rec: DataFrame, sigma: DataFrame, fitted: DataFrame | None, correlation: DataFrame | str | None = None) -> DataFrame:
     """rec with sigma: the deviation of each reconciled forecast. sigma: unique_id, ds, model, sigma.
 
-    correlation: (model, id1, id2, r) for id1 <= id2 off the diagonal; without it errors are
-    uncorrelated. The method's map is the summing rows for bottom-up and a matrix otherwise.
+    correlation: None for independent errors; ``full`` or ``shrink`` for that of the errors in sample, as a
+    factor over the times in sample; or rows (model, id1, id2, r) with id1 <= id2. Written maps on
+    trees need no row per pair of series: the variances come from passes over the levels and from
+    the map's and the errors' factors. Crossed structures, errors with gaps, and rows of
+    correlations take the matrix of the map, of at most 2000 series.
     """
-    models = [r[0] for r in rec.select("model").distinct().collect()]
-    if isinstance(method, BottomUp):
-        m = h.summing.select("unique_id", F.col("bottom_id").alias("source"), F.col("weight").alias("x")).withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    made = as_fitted(method, h, sigma, fitted)
+    if isinstance(made.method, BottomUp) and correlation is None:
+        bottom = sigma.select(F.col("unique_id").alias("bottom_id"), *BY, "sigma")
+        parts = h.summing.join(bottom, "bottom_id").withColumn("c", F.col("weight") * F.col("sigma"))
+        variance = parts.groupBy("unique_id", *BY).agg(F.sum(F.col("c") * F.col("c")).alias("v"))
+    elif isinstance(made.method, TopDown) and correlation is None:  # one error, the root's, is spread by the shares
+        spread = made.predict(sigma.select("unique_id", *BY, F.col("sigma").alias("yhat")), BY)
+        variance = spread.select("unique_id", *BY, (F.col("yhat") * F.col("yhat")).alias("v"))
+    elif made.maps and not isinstance(correlation, DataFrame) and (h.is_strict or made.maps[0].base != "solved") and (correlation is None or not has_gaps(fitted)):
+        x = None if correlation is None else factor_correlation(factor(fitted, correlation, getattr(made.method, "mint_shr_ridge", C.RIDGE))[0])
+        variance = made.variance(sigma, BY, x)
     else:
-        m = linear_map(method, h, fitted, models)
+        rows = correlations(fitted, correlation) if isinstance(correlation, str) else correlation
+        variance = _variance_of_map(linear_map(made, models_of(rec)), sigma, rows)
+    return rec.join(variance.select("unique_id", *BY, F.sqrt(F.greatest("v", F.lit(0.0))).alias("sigma")), ["unique_id", *BY])
+
+
+def _variance_of_map(m: DataFrame, sigma: DataFrame, correlation: DataFrame | None) -> DataFrame:
+    """unique_id, ds, model, v from the rows of a map's matrix."""
     s = sigma.select(F.col("unique_id").alias("source"), *BY, "sigma")
     parts = m.join(s, ["source", "model"]).withColumn("c", F.col("x") * F.col("sigma"))
     variance = parts.groupBy("unique_id", *BY).agg(F.sum(F.col("c") * F.col("c")).alias("v"))
-    if correlation is not None:
-        off = correlation.where("id1 <> id2 AND r <> 0")
-        a = parts.select("unique_id", *BY, F.col("source").alias("id1"), F.col("c").alias("c1"))
-        b = parts.select("unique_id", *BY, F.col("source").alias("id2"), F.col("c").alias("c2"))
-        cross = a.join(off, ["id1", "model"]).join(b, ["unique_id", *BY, "id2"]).groupBy("unique_id", *BY).agg(F.sum(2 * F.col("r") * F.col("c1") * F.col("c2")).alias("w"))
-        variance = variance.join(cross, ["unique_id", *BY], "left").select("unique_id", *BY, (F.col("v") + F.coalesce("w", F.lit(0.0))).alias("v"))
-    return rec.join(variance.select("unique_id", *BY, F.sqrt(F.greatest("v", F.lit(0.0))).alias("sigma")), ["unique_id", *BY])
+    if correlation is None:
+        return variance
+    off = correlation.where("id1 <> id2 AND r <> 0")
+    a = parts.select("unique_id", *BY, F.col("source").alias("id1"), F.col("c").alias("c1"))
+    b = parts.select("unique_id", *BY, F.col("source").alias("id2"), F.col("c").alias("c2"))
+    cross = a.join(off, ["id1", "model"]).join(b, ["unique_id", *BY, "id2"]).groupBy("unique_id", *BY).agg(F.sum(2 * F.col("r") * F.col("c1") * F.col("c2")).alias("w"))
+    return variance.join(cross, ["unique_id", *BY], "left").select("unique_id", *BY, (F.col("v") + F.coalesce("w", F.lit(0.0))).alias("v"))
 
 
 def correlations(fitted: DataFrame, kind: str = "full", ridge: float = C.RIDGE) -> DataFrame:
     """(model, id1, id2, r) of errors in sample: ``full`` or ``shrink``; deviations are at least 1e-8."""
     e = C.errors(fitted)
-    cov = C.masked_covariance(e)
     if kind == "shrink":
-        cov = cov.join(C.shrinkage(C.centred(e)), "model").withColumn("cov", F.when(F.col("id1") == F.col("id2"), F.greatest("cov", F.lit(ridge))).otherwise((1 - F.col("lam")) * F.col("cov"))).drop("lam")
-    elif kind != "full":
+        cov = C.masked_shrunk(e, ridge)
+    elif kind == "full":
+        cov = C.masked_covariance(e)
+    else:
         raise ValueError(f"Unknown covariance type: {kind}")
+    cov = settled(cov, "covariances")
     std = cov.where("id1 = id2").select("model", F.col("id1").alias("id"), F.greatest(F.sqrt("cov"), F.lit(1e-8)).alias("s"))
     both = cov.join(std.withColumnsRenamed({"id": "id1", "s": "s1"}), ["model", "id1"]).join(std.withColumnsRenamed({"id": "id2", "s": "s2"}), ["model", "id2"])
     r = F.least(F.greatest(F.col("cov") / (F.col("s1") * F.col("s2")), F.lit(-1.0)), F.lit(1.0))
@@ -93,7 +116,7 @@ def independent_samples(rec: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return each.select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("sigma") * hashed_normal(seed, "unique_id", "ds", "model", "sample_id")).alias("yhat"))
 
 
-def normal_samples(h: Hierarchy, method: Method, fcst: DataFrame, sigma: DataFrame, fitted: DataFrame | None, n: int, seed: int = 0, kind: str | None = None) -> DataFrame:
+def normal_samples(h: Hierarchy, method: Method | Fitted, fcst: DataFrame, sigma: DataFrame, fitted: DataFrame | None, n: int, seed: int = 0, kind: str | None = None) -> DataFrame:
     """n coherent draws of the reconciled forecasts: unique_id, ds, model, sample_id, yhat.
 
     The forecasts' own errors are drawn and mapped as the forecasts are. kind: None for
@@ -114,7 +137,7 @@ def normal_samples(h: Hierarchy, method: Method, fcst: DataFrame, sigma: DataFra
         each = each.join(common, ["unique_id", *BY, "sample_id"], "left").join(lam, "model")
         z = F.when(F.col("_z").isNull(), own).otherwise(F.sqrt(1 - F.col("lam")) * F.col("_z") + F.sqrt("lam") * own)
     drawn = each.select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("sigma") * z).alias("yhat"))
-    return method.mapped(h, drawn, fitted, [*BY, "sample_id"])
+    return as_fitted(method, h, fcst, fitted).predict(drawn, [*BY, "sample_id"])
 
 
 def residual_rows(fitted: DataFrame) -> DataFrame:
@@ -132,7 +155,7 @@ def drawn_starts(n_times: int, horizon: int, n: int, seed: int) -> list[int]:
     return np.random.default_rng(seed).choice(np.arange(n_times - horizon), size=n).tolist()
 
 
-def bootstrap_samples(h: Hierarchy, method: Method, fcst: DataFrame, fitted: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def bootstrap_samples(h: Hierarchy, method: Method | Fitted, fcst: DataFrame, fitted: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Forecasts plus blocks of errors, reconciled: unique_id, ds, model, sample_id, yhat."""
     res = residual_rows(fitted)
     step = fcst.withColumn("_h", F.row_number().over(Window.partitionBy("unique_id", "model").orderBy("ds")) - 1)
@@ -141,7 +164,7 @@ def bootstrap_samples(h: Hierarchy, method: Method, fcst: DataFrame, fitted: Dat
     starts = F.posexplode(F.array(*(F.lit(int(x)) for x in drawn_starts(n_times, horizon, n, seed)))).alias("sample_id", "_start")
     each = step.select("unique_id", *BY, "yhat", "_h", starts).withColumn("ordinal", F.col("_start") + F.col("_h"))
     moved = each.join(res, ["unique_id", "model", "ordinal"]).select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("e")).alias("yhat"))
-    return method.mapped(h, moved, fitted, [*BY, "sample_id"])
+    return as_fitted(method, h, fcst, fitted).predict(moved, [*BY, "sample_id"])
 
 
 def quantiles_of(samples: DataFrame, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
@@ -149,15 +172,16 @@ def quantiles_of(samples: DataFrame, quantiles: list[float], by: list[str] | Non
     return samples.groupBy("unique_id", *(by or BY)).agg(F.percentile("yhat", F.array(*map(F.lit, quantiles))).alias("q"))
 
 
-def conformal_scores(h: Hierarchy, method: Method, fitted: DataFrame) -> DataFrame:
+def conformal_scores(h: Hierarchy, method: Method | Fitted, fitted: DataFrame) -> DataFrame:
     """(unique_id, ds, model, score): values less the reconciled fitted forecasts, where all have both."""
     good = fitted.groupBy("model", "ds").agg(F.count_if(F.col("y").isNull() | F.isnan(F.col("y").cast("double")) | F.col("yhat").isNull() | F.isnan("yhat")).alias("bad")).where("bad = 0")
     part = fitted.join(good.select("model", "ds"), ["model", "ds"], "left_semi")
-    rec = method.mapped(h, part.select("unique_id", *BY, F.col("yhat").cast("double").alias("yhat")), fitted, BY)
+    values = part.select("unique_id", *BY, F.col("yhat").cast("double").alias("yhat"))
+    rec = as_fitted(method, h, values, fitted).predict(values, BY)
     return part.select("unique_id", *BY, F.col("y").cast("double").alias("y")).join(rec, ["unique_id", *BY]).select("unique_id", *BY, (F.col("y") - F.col("yhat")).alias("score"))
 
 
-def conformal(h: Hierarchy, method: Method, rec: DataFrame, fitted: DataFrame, quantiles: list[float]) -> DataFrame:
+def conformal(h: Hierarchy, method: Method | Fitted, rec: DataFrame, fitted: DataFrame, quantiles: list[float]) -> DataFrame:
     """rec with q: forecasts plus the scores' interpolated quantiles."""
     scores = conformal_scores(h, method, fitted)
     q = scores.groupBy("unique_id", "model").agg(F.percentile("score", F.array(*map(F.lit, quantiles))).alias("_q"), F.count("score").alias("_n"))
@@ -175,7 +199,7 @@ def conformal_levels(scores: DataFrame, rec: DataFrame, level: float) -> DataFra
     return rec.join(bounds, ["unique_id", "model"]).withColumn("lo", F.col("yhat") + F.col("_lo")).withColumn("hi", F.col("yhat") + F.col("_hi")).drop("_lo", "_hi")
 
 
-def conformal_samples(h: Hierarchy, method: Method, rec: DataFrame, fitted: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def conformal_samples(h: Hierarchy, method: Method | Fitted, rec: DataFrame, fitted: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n draws: at one time and sample all series take their scores of the same time in sample."""
     if n <= 0:
         raise ValueError("The number of samples must be positive.")
@@ -192,9 +216,9 @@ def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataF
     """Copula samples on a tree, bottom upwards: unique_id, ds, model, sample_id, yhat.
 
     Sorted Gaussian draws of the children take the order of the ranks of their errors and are
-    summed to the parent's draws, level by level; so dependence is restored and draws are
-    coherent with the reordered children. sort_first=False keeps the draws unsorted before
-    they are reordered.
+    summed to the parent's draws, level by level, so the siblings' dependence is that of the
+    errors. A parent's draws are then put in a random order, keyed by seed and series, before they are reordered
+    as a child's. sort_first=False keeps the draws unsorted before they are reordered.
     """
     need_strict(h, ["PERMBU"])
     res = residual_rows(fitted)
@@ -215,10 +239,16 @@ def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataF
         placed = d.withColumn("rank", F.row_number().over(order) - 1).drop("sample_id")
         return placed.join(ranks, ["model", "unique_id", "rank"]).select("unique_id", *BY, "sample_id", "yhat")
 
+    def shuffled(d: DataFrame) -> DataFrame:
+        """Draws in another order, a function of seed and series alone; the same at all times ahead."""
+        key = F.xxhash64(F.lit(seed), F.lit("order"), "unique_id", "sample_id")
+        order = Window.partitionBy("unique_id", *BY).orderBy(key, "sample_id")
+        return d.withColumn("sample_id", (F.row_number().over(order) - 1).cast("int"))
+
     level = reordered(at.where(F.col("level_ord") == len(h.levels) - 1).select("unique_id", *BY, "sample_id", "yhat"))
     out = level
     for k in range(len(h.levels) - 2, -1, -1):
-        parent = level.join(edges, "unique_id").groupBy(F.col("parent_id").alias("unique_id"), *BY, "sample_id").agg(F.sum("yhat").alias("yhat"))
+        parent = shuffled(level.join(edges, "unique_id").groupBy(F.col("parent_id").alias("unique_id"), *BY, "sample_id").agg(F.sum("yhat").alias("yhat")))
         out = out.unionByName(parent)
         level = reordered(parent) if k else parent
     return out

@@ -1,4 +1,4 @@
-"""Projections learned from values and fitted forecasts in sample, and non-negative solutions.
+"""Projections learned from values and fitted forecasts in sample.
 
 The projections of emint and of closed empirical risk are b x n matrices that are never made:
 applied to forecasts they are sums over the times in sample, weighted by the solution of a
@@ -8,17 +8,17 @@ system of that size.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallytree.hierarchy import Hierarchy
-from tallytree.operators.dense import lasso_kronecker, nnls
-from tallytree.operators.mintrace import DENSE, _arrays, diagonal, identity
-from tallytree.operators.reconcile import bottom_of, summed
+from tallytree.operators.dense import lasso_kronecker
+from tallytree.operators.mintrace import _arrays
+from tallytree.operators.projection import Projection, diagonal, learned
+from tallytree.operators.reconcile import bottom_of
+from tallytree.session import settled
 
 
 def complete(fitted: DataFrame, last: int | None = None) -> DataFrame:
@@ -34,40 +34,22 @@ def complete(fitted: DataFrame, last: int | None = None) -> DataFrame:
     return fitted.join(good, ["model", "ds"], "left_semi")
 
 
-def _applied(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, bottom: Callable[[str], DataFrame]) -> DataFrame:
-    """Sums of bottom(model) (unique_id, t, b) over times t, weighted by pinv of the fitted forecasts."""
-    out = None
-    for model in [r[0] for r in fcst.select("model").distinct().collect()]:
-        x = fitted.where(F.col("model") == model).select("unique_id", F.col("ds").alias("t"), F.col("yhat").cast("double").alias("x"))
-        y = fcst.where(F.col("model") == model).select("unique_id", "ds", F.col("yhat").alias("y"))
-        pairs = x.join(x.select("unique_id", F.col("t").alias("t2"), F.col("x").alias("x2")), "unique_id")
-        ts, _, gram = _arrays(pairs.groupBy("t", "t2").agg(F.sum(F.col("x") * F.col("x2")).alias("g")), "t", "t2", "g")
-        _, ds, c = _arrays(x.join(y, "unique_id").groupBy("t", "ds").agg(F.sum(F.col("x") * F.col("y")).alias("c")), "t", "ds", "c")
-        z = np.linalg.pinv(gram, hermitian=True) @ c  # times in sample x horizon
-        kind = fcst.schema["ds"].dataType
-        zs = h.spark.createDataFrame([(ts[k], ds[j], float(z[k, j])) for k in range(len(ts)) for j in range(len(ds))], x.select("t").schema.add("ds", kind).add("z", "double"))
-        one = bottom(model).join(F.broadcast(zs), "t").groupBy("unique_id", "ds").agg(F.sum(F.col("b") * F.col("z")).alias("yhat"))
-        one = one.withColumn("model", F.lit(model)).select("unique_id", "ds", "model", "yhat")
-        out = one if out is None else out.unionByName(one)
-    return summed(h, out, ["ds", "model"])
-
-
-def emint(h: Hierarchy, fcst: DataFrame, fitted: DataFrame) -> DataFrame:
+def emint(h: Hierarchy, fitted: DataFrame) -> Projection:
     good = complete(fitted)
-    bottom = bottom_of(h, good)
-    return _applied(h, fcst, good, lambda m: bottom.where(F.col("model") == m).select("unique_id", F.col("ds").alias("t"), F.col("y").cast("double").alias("b")))
+    bottom = bottom_of(h, good).select("model", "unique_id", F.col("ds").alias("t"), F.col("y").cast("double").alias("b"))
+    return learned(h, bottom, good.select("model", "unique_id", F.col("ds").alias("t"), F.col("yhat").cast("double").alias("x")))
 
 
-def erm_closed(h: Hierarchy, fcst: DataFrame, fitted: DataFrame) -> DataFrame:
+def erm_closed(h: Hierarchy, fcst: DataFrame, fitted: DataFrame) -> Projection:
     horizon = fcst.agg(F.count_distinct("ds")).first()[0]
-    good = complete(fitted, horizon)
-    y = good.select("unique_id", "ds", "model", F.col("y").cast("double").alias("yhat"))
-    fit = bottom_of(h, diagonal(h, y, identity(h), ["ds", "model"]))
-    return _applied(h, fcst, good, lambda m: fit.where(F.col("model") == m).select("unique_id", F.col("ds").alias("t"), F.col("yhat").alias("b")))
+    good = settled(complete(fitted, horizon), "fitted")
+    y = good.select("unique_id", "ds", "model", F.col("y").cast("double").alias("yhat"), F.lit(1.0).alias("w"))
+    fit = bottom_of(h, diagonal(h, y, ["ds", "model"])).select("model", "unique_id", F.col("ds").alias("t"), F.col("yhat").alias("b"))
+    return learned(h, fit, good.select("model", "unique_id", F.col("ds").alias("t"), F.col("yhat").cast("double").alias("x")))
 
 
 def erm_lasso(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, around_bottom_up: bool, lam: float | None, vec_order: str = "reference", most: int = 250_000) -> DataFrame:
-    """Sparse projections by lasso. The coefficients, one per bottom series and series, number at most ``most``.
+    """(model, unique_id, source, x): sparse projections to the bottom series by lasso. The coefficients, one per bottom series and series, number at most ``most``.
 
     vec_order: ``math`` reads the coefficients as the design is ordered, ``reference`` in the
     transposed order that published implementations use.
@@ -96,34 +78,5 @@ def erm_lasso(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, around_bottom_up
             p = beta + (start.T if around_bottom_up else 0)
         else:
             p = (beta.reshape(-1) + (start.reshape(-1) if around_bottom_up else 0)).reshape(n, b).T
-        rows, ds, yhat = _arrays(fcst.where(F.col("model") == model), "unique_id", "ds", "yhat")
-        bottom = p @ yhat[[rows.index(i) for i in ids]]
-        out += [(ids[n - b + i], ds[j], model, float(bottom[i, j])) for i in range(b) for j in range(len(ds))]
-    return summed(h, h.spark.createDataFrame(out, fcst.select("unique_id", "ds", "model", "yhat").schema), ["ds", "model"])
-
-
-def non_negative_least_squares(h: Hierarchy, fcst: DataFrame, weights: DataFrame, by: list[str], most: int = DENSE) -> DataFrame:
-    """Bottom values >= 0 with the least weighted distance of their sums from the forecasts, then summed.
-
-    Forecasts below zero count as zero. Every combination of ``by`` is its own task, with the
-    normal matrix of at most ``most`` bottom series.
-    """
-    n, b = h.shape
-    if b > most:
-        raise ValueError(f"Non-negative solutions need a dense matrix of {b} bottom series; at most {most} are allowed.")
-    ids = [r[0] for r in h.nodes.orderBy("level_ord", "pos").select("unique_id").collect()]
-    s = h.to_numpy()
-    schema = fcst.select("unique_id", *by, "yhat").schema
-    per_model = "model" in weights.columns
-    joined = fcst.join(weights, ["unique_id", "model"] if per_model else ["unique_id"]).select("unique_id", *by, F.greatest("yhat", F.lit(0.0)).alias("yhat"), "w")
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.set_index("unique_id").loc[ids]
-        sw = s.T / part["w"].to_numpy()
-        x = nnls(sw @ s, sw @ part["yhat"].to_numpy())
-        out = pd.DataFrame({"unique_id": ids[n - b :]})
-        for name, value in zip(by, key, strict=True):
-            out[name] = value
-        return out.assign(yhat=x)[["unique_id", *by, "yhat"]]
-
-    return summed(h, joined.groupBy(*by).applyInPandas(solve, schema), by)
+        out += [(model, ids[n - b + i], ids[j], float(p[i, j])) for i, j in zip(*np.nonzero(p), strict=True)]
+    return h.spark.createDataFrame(out, "model string, unique_id string, source string, x double")

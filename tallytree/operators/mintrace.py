@@ -1,15 +1,4 @@
-"""Minimum-trace reconciliation without a matrix of all series.
-
-Diagonal weights on a tree are solved exactly by two passes over its levels: upwards every
-node combines its own forecast with its children's sum by their precisions, downwards it
-spreads what is left to its children by their variances. Weights on grouped structures use
-the constraints' system, whose size is the number of aggregates, up to ``dense``; above, the
-same system is solved by conjugate gradients as joins and sums.
-
-A covariance of errors is a diagonal plus a factor with one column per time in sample, so
-its solution needs the diagonal one for the forecasts and for the factor's columns, and a
-system of the size of the sample's length.
-"""
+"""Weights of minimum-trace reconciliation, and the dense solution for errors with gaps."""
 
 from __future__ import annotations
 
@@ -19,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallytree.hierarchy import Hierarchy
 from tallytree.operators import covariance as C
-from tallytree.operators.reconcile import bottom_of, coherence_residual, summed
+from tallytree.operators.reconcile import bottom_of, summed
 
 DENSE = 2000
 FLUSH = 1e-10
@@ -51,106 +40,6 @@ def error_variance(fitted: DataFrame, centred: bool = False) -> DataFrame:
     return s.join(F.broadcast(times), "model").select("model", "unique_id", (F.col("s") / F.col("T") + C.RIDGE).alias("w"))  # a row per model
 
 
-def tree(h: Hierarchy, weighted: DataFrame, by: list[str]) -> DataFrame:
-    """Two passes over the levels of a strict hierarchy. weighted: unique_id, by, yhat, w."""
-    at = weighted.join(h.nodes.select("unique_id", "level_ord"), "unique_id")
-    edges = h.edges.select("parent_id", F.col("child_id").alias("unique_id"))
-    last = len(h.levels) - 1
-    ups = {last: at.where(F.col("level_ord") == last).select("unique_id", *by, F.col("yhat").alias("m"), F.col("w").alias("v"))}
-    sums = {}
-    for k in range(last - 1, -1, -1):
-        below = ups[k + 1].join(edges, "unique_id").groupBy("parent_id", *by).agg(F.sum("m").alias("sm"), F.sum("v").alias("sv"))
-        sums[k] = below
-        own = at.where(F.col("level_ord") == k).join(below.withColumnRenamed("parent_id", "unique_id"), ["unique_id", *by])
-        total = F.col("w") + F.col("sv")
-        ups[k] = own.select("unique_id", *by, F.try_divide(F.col("yhat") * F.col("sv") + F.col("sm") * F.col("w"), total).alias("m"), F.try_divide(F.col("w") * F.col("sv"), total).alias("v"))
-    level = ups[0].select("unique_id", *by, F.col("m").alias("yhat"))
-    out = level
-    for k in range(1, last + 1):
-        parent = level.select(F.col("unique_id").alias("parent_id"), *by, F.col("yhat").alias("_p")).join(sums[k - 1], ["parent_id", *by])
-        child = ups[k].join(edges, "unique_id").join(parent, ["parent_id", *by])
-        level = child.select("unique_id", *by, (F.col("m") + F.try_divide("v", "sv") * (F.col("_p") - F.col("sm"))).alias("yhat"))
-        out = out.unionByName(level)
-    return out
-
-
-def _system(h: Hierarchy, weights: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Ids of the aggregates and the constraints' matrix U'WU for one diagonal W."""
-    aggregates = h.nodes.where("NOT is_bottom").select("unique_id")
-    rows = h.summing.join(aggregates, "unique_id")
-    w = weights.select(F.col("unique_id").alias("bottom_id"), "w")
-    a = rows.join(w, "bottom_id").select(F.col("unique_id").alias("i"), "bottom_id", (F.col("weight") * F.col("w")).alias("x"))
-    b = rows.select(F.col("unique_id").alias("j"), "bottom_id", "weight")
-    cells = a.join(b, "bottom_id").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("weight")).alias("k")).collect()  # at most DENSE squared
-    own = {r.unique_id: r.w for r in weights.join(aggregates, "unique_id").collect()}
-    ids = sorted(own)
-    at = {x: k for k, x in enumerate(ids)}
-    k = np.diag([own[x] for x in ids]).astype(float)
-    for r in cells:
-        k[at[r.i], at[r.j]] += r.k
-    return ids, np.where(np.abs(k) < FLUSH, 0.0, k)
-
-
-def constrained(h: Hierarchy, fcst: DataFrame, weights: DataFrame, by: list[str], dense: int = DENSE, tolerance: float = 1e-10, rounds: int = 500) -> DataFrame:
-    """Any structure, one diagonal W: yhat - W U (U'WU)^-1 U' yhat."""
-    residual = coherence_residual(h, fcst, by).join(h.nodes.where("NOT is_bottom").select("unique_id"), "unique_id", "left_semi")
-    n_aggregates = h.nodes.where("NOT is_bottom").count()
-    if n_aggregates <= dense:
-        ids, k = _system(h, weights)
-        try:
-            inverse = np.linalg.inv(k)
-        except np.linalg.LinAlgError:
-            raise ValueError("The weights are ill-conditioned; use another method.") from None
-        rows = [(ids[i], ids[j], float(inverse[i, j])) for i, j in zip(*np.nonzero(inverse), strict=True)]
-        table = h.spark.createDataFrame(rows, "unique_id string, j string, x double")
-        lam = residual.withColumnRenamed("unique_id", "j").join(table, "j").groupBy("unique_id", *by).agg(F.sum(F.col("x") * F.col("residual")).alias("lam"))
-    else:
-        lam = _gradients(h, residual, weights, by, tolerance, rounds)
-    spread = h.summing.join(lam, "unique_id").groupBy(F.col("bottom_id").alias("unique_id"), *by).agg(F.sum(F.col("weight") * F.col("lam")).alias("g"))
-    change = lam.select("unique_id", *by, (-F.col("lam")).alias("g")).unionByName(spread)
-    return fcst.join(weights, "unique_id").join(change, ["unique_id", *by]).select("unique_id", *by, (F.col("yhat") + F.col("w") * F.col("g")).alias("yhat"))
-
-
-def _gradients(h: Hierarchy, residual: DataFrame, weights: DataFrame, by: list[str], tolerance: float, rounds: int) -> DataFrame:
-    """(unique_id, by, lam) with K lam = residual, all of ``by`` at once, by conjugate gradients."""
-    aggregates = h.nodes.where("NOT is_bottom").select("unique_id")
-    rows = h.summing.join(aggregates, "unique_id").cache()
-    bottom_w = weights.select(F.col("unique_id").alias("bottom_id"), F.col("w").alias("wb"))
-
-    def times(p: DataFrame) -> DataFrame:
-        down = rows.join(p, "unique_id").groupBy("bottom_id", *by).agg(F.sum(F.col("weight") * F.col("p")).alias("d"))
-        up = rows.join(down.join(bottom_w, "bottom_id"), "bottom_id").groupBy("unique_id", *by).agg(F.sum(F.col("weight") * F.col("wb") * F.col("d")).alias("u"))
-        return p.join(up, ["unique_id", *by]).join(weights, "unique_id").withColumn("Kp", F.col("u") + F.col("w") * F.col("p")).drop("u", "w")
-
-    state = residual.select("unique_id", *by, F.lit(0.0).alias("lam"), F.col("residual").alias("r"), F.col("residual").alias("p"))
-    for k in range(rounds):
-        s = times(state)
-        dots = s.groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("Kp")).alias("pKp"))
-        s = s.join(dots, by).withColumn("_a", F.coalesce(F.try_divide("rr", "pKp"), F.lit(0.0)))
-        s = s.select("unique_id", *by, "rr", (F.col("lam") + F.col("_a") * F.col("p")).alias("lam"), (F.col("r") - F.col("_a") * F.col("Kp")).alias("r"), "p")
-        new = s.groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("rr2"))
-        s = s.join(new, by)
-        state = s.select("unique_id", *by, "lam", "r", (F.col("r") + F.coalesce(F.try_divide("rr2", "rr"), F.lit(0.0)) * F.col("p")).alias("p"), "rr2").checkpoint()
-        if k % 5 == 4 and (state.agg(F.max("rr2")).first()[0] or 0.0) < tolerance**2:
-            break
-        state = state.drop("rr2")
-    return state.select("unique_id", *by, "lam")
-
-
-def diagonal(h: Hierarchy, fcst: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
-    """Reconciles with diagonal weights (unique_id, w, and model if they differ by model)."""
-    on = ["unique_id", "model"] if "model" in weights.columns else ["unique_id"]
-    if h.is_strict:
-        return tree(h, fcst.select("unique_id", *by, "yhat").join(weights, on).select("unique_id", *by, "yhat", "w"), by)
-    if on == ["unique_id"]:
-        return constrained(h, fcst.select("unique_id", *by, "yhat"), weights, by)
-    parts = [constrained(h, fcst.where(F.col("model") == r[0]).select("unique_id", *by, "yhat"), weights.where(F.col("model") == r[0]).select("unique_id", "w"), by) for r in weights.select("model").distinct().collect()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _arrays(df: DataFrame, row: str, column: str, value: str) -> tuple[list, list, np.ndarray]:
     """A small table as a dense array, with its row and column keys sorted."""
     got = df.select(row, column, value).toPandas()
@@ -158,87 +47,39 @@ def _arrays(df: DataFrame, row: str, column: str, value: str) -> tuple[list, lis
     return list(wide.index), list(wide.columns), wide.to_numpy(dtype=float)
 
 
-def full_covariance(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, method: str, ridge: float = C.RIDGE) -> DataFrame:
-    """mint_cov and mint_shrink; fcst: unique_id, ds, model, yhat, fitted: unique_id, ds, model, y, yhat."""
-    guard(fitted)
-    e = C.errors(fitted)
-    models = [r[0] for r in fcst.select("model").distinct().collect()]
-    times = e.groupBy("model").agg(F.count_distinct("ds").alias("T")).join(e.groupBy("model").agg(F.count("e").alias("n"), F.count_distinct("unique_id").alias("s")), "model").collect()
-    gaps = [r.model for r in times if r.n != r["T"] * r.s]
-    if gaps:
-        return _with_gaps(h, fcst, e, method, ridge)
-    c = C.centred(e).cache()
-    lam = {r.model: r.lam for r in C.shrinkage(c).collect()} if method == "mint_shrink" else {}
-    out = None
-    for model in models:
-        one = _factored(h, fcst.where(F.col("model") == model), c.where(F.col("model") == model), lam.get(model, 0.0), method, ridge, model)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _factored(h: Hierarchy, fcst: DataFrame, c: DataFrame, lam: float, method: str, ridge: float, model: str) -> DataFrame:
-    keep = 1.0 - lam if method == "mint_shrink" else 1.0
-    factor = c.select("unique_id", F.col("ds").alias("t"), (F.col("c") * F.sqrt(F.lit(keep) / (F.col("T") - 1))).alias("f"))
-    y = fcst.select("unique_id", "ds", "yhat")
-    if method == "mint_cov" or keep >= 1.0:
-        # No diagonal: the smallest change within the factor's span that makes the forecasts coherent.
-        u = coherence_residual(h, factor.withColumnRenamed("f", "yhat"), ["t"]).join(h.nodes.where("NOT is_bottom").select("unique_id"), "unique_id", "left_semi")
-        n_aggregates, n_times = h.nodes.where("NOT is_bottom").count(), c.select("ds").distinct().count()
-        if n_aggregates > n_times - 1:
-            raise ValueError(f"min_trace ({method}) is ill-conditioned: {n_aggregates} aggregates, {n_times} times in sample. Use another reconciliation method.")
-        ids, ts, m = _arrays(u, "unique_id", "t", "residual")  # fewer rows than times in sample
-        if np.linalg.matrix_rank(m) < len(ids):
-            raise ValueError(f"min_trace ({method}) is ill-conditioned. Use another reconciliation method.")
-        r = coherence_residual(h, y, ["ds"]).join(h.nodes.where("NOT is_bottom").select("unique_id"), "unique_id", "left_semi")
-        _, ds, rm = _arrays(r, "unique_id", "ds", "residual")
-        z = np.linalg.pinv(m) @ rm
-        base, columns = y, factor
-    else:
-        d = c.groupBy("unique_id").agg(F.max("var").alias("v")).select("unique_id", (F.greatest("v", F.lit(ridge)) - keep * F.col("v")).alias("w"))
-        base = diagonal(h, y, d, ["ds"])
-        columns = diagonal(h, factor.withColumnRenamed("f", "yhat"), d, ["t"]).withColumnRenamed("yhat", "f")
-        g = factor.withColumnRenamed("f", "_f").join(columns, ["unique_id", "t"]).select("unique_id", "t", (F.col("_f") - F.col("f")).alias("g"))
-        r = y.withColumnRenamed("yhat", "_y").join(base, ["unique_id", "ds"]).select("unique_id", "ds", (F.col("_y") - F.col("yhat")).alias("r"))
-        left = g.join(d, "unique_id").select("unique_id", F.col("t").alias("t1"), (F.col("g") / F.col("w")).alias("x"))
-        ts, _, a = _arrays(left.join(g.select("unique_id", F.col("t").alias("t2"), "g"), "unique_id").groupBy("t1", "t2").agg(F.sum(F.col("x") * F.col("g")).alias("a")), "t1", "t2", "a")
-        _, ds, b = _arrays(left.join(r, "unique_id").groupBy("t1", "ds").agg(F.sum(F.col("x") * F.col("r")).alias("b")), "t1", "ds", "b")
-        z = np.linalg.solve(np.eye(len(ts)) + a, b)  # as many rows as there are times in sample
-    rows = h.spark.createDataFrame([(k, j) for k in range(len(ts)) for j in range(len(ds))], "k int, j int")
-    zs = h.spark.createDataFrame([(ts[k], ds[j], float(z[k, j])) for k in range(len(ts)) for j in range(len(ds))], c.select(F.col("ds").alias("t")).schema.add("ds", y.schema["ds"].dataType).add("z", "double"))
-    del rows
-    moved = columns.join(F.broadcast(zs), "t").groupBy("unique_id", "ds").agg(F.sum(F.col("f") * F.col("z")).alias("_z"))  # sample times x horizon
-    return base.join(moved, ["unique_id", "ds"]).select("unique_id", "ds", F.lit(model).alias("model"), (F.col("yhat") - F.col("_z")).alias("yhat"))
-
-
-def _with_gaps(h: Hierarchy, fcst: DataFrame, e: DataFrame, method: str, ridge: float, most: int = DENSE) -> DataFrame:
-    """Pairwise covariances of errors with gaps; the matrix has a row per series, of which at most ``most`` are allowed."""
+def has_gaps(fitted: DataFrame) -> bool:
+    """Whether some series of a model lacks an error at a time that others have."""
+    e = C.errors(fitted).groupBy("model").agg(F.count_distinct("ds").alias("T"), F.count("e").alias("n"), F.count_distinct("unique_id").alias("s"))
+    return not e.where("n <> T * s").isEmpty()
+
+
+def gap_map(h: Hierarchy, fitted: DataFrame, models: list[str], method: str, ridge: float = C.RIDGE, most: int = DENSE) -> DataFrame:
+    """(model, unique_id, source, x): mint_cov's and mint_shrink's maps to the bottom series for errors with gaps.
+
+    Pairwise covariances have no factor, so the matrix has a row per series, of which at most ``most`` are allowed.
+    """
     n, b = h.shape
     if n > most:
         raise ValueError(f"Errors with gaps need a dense matrix of all {n} series; at most {most} are allowed.")
     ids = [r[0] for r in h.nodes.orderBy("level_ord", "pos").select("unique_id").collect()]
     at, s = {x: k for k, x in enumerate(ids)}, h.to_numpy()
     ut = np.hstack([np.eye(n - b), -s[: n - b]])
+    e = C.errors(fitted)
     out = []
-    for model in [r[0] for r in fcst.select("model").distinct().collect()]:
+    for model in models:
         part = e.where(F.col("model") == model)
-        if method == "mint_cov":
-            w = np.zeros((n, n))
-            for r in C.masked_covariance(part).collect():
-                w[at[r.id1], at[r.id2]] = w[at[r.id2], at[r.id1]] = r["cov"]
-        else:
-            rows, _, res = _arrays(part, "unique_id", "ds", "e")
-            w = C.shrunk_masked(res[[rows.index(x) for x in ids]], ridge)
+        pairs = (C.masked_covariance(part) if method == "mint_cov" else C.masked_shrunk(part, ridge)).toPandas()  # at most ``most`` squared
+        w = np.zeros((n, n))
+        i, j = pairs["id1"].map(at).to_numpy(), pairs["id2"].map(at).to_numpy()
+        w[i, j] = w[j, i] = pairs["cov"].to_numpy()
         k = ut @ w @ ut.T
         try:
-            change = w @ ut.T @ np.linalg.solve(np.where(np.abs(k) < FLUSH, 0.0, k), np.eye(n - b))
+            change = w[n - b :] @ ut.T @ np.linalg.solve(np.where(np.abs(k) < FLUSH, 0.0, k), ut)
         except np.linalg.LinAlgError:
             raise ValueError(f"min_trace ({method}) is ill-conditioned. Use another reconciliation method.") from None
-        y = fcst.where(F.col("model") == model)
-        _, ds, yhat = _arrays(y, "unique_id", "ds", "yhat")
-        yhat = yhat[[sorted(ids).index(x) for x in ids]]
-        new = yhat - change @ (ut @ yhat)
-        out += [(ids[i], ds[j], model, float(new[i, j])) for i in range(n) for j in range(len(ds))]
-    return h.spark.createDataFrame(out, fcst.select("unique_id", "ds", "model", "yhat").schema)
+        m = np.eye(n)[n - b :] - change
+        out += [(model, ids[n - b + i], ids[j], float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)]
+    return h.spark.createDataFrame(out, "model string, unique_id string, source string, x double")
 
 
 def non_negative(rec: DataFrame, h: Hierarchy, by: list[str]) -> DataFrame:

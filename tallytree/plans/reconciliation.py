@@ -12,11 +12,10 @@ from pyspark.sql.types import NumericType
 
 from tallytree.functions.naming import is_model, level_outputs, tick
 from tallytree.hierarchy import Hierarchy
-from tallytree.operators import covariance as C
 from tallytree.operators import intervals as I
 from tallytree.operators.evaluate import diagnostics as diagnosed
 from tallytree.operators.reconcile import need_strict
-from tallytree.operators.reconcilers import Method
+from tallytree.operators.reconcilers import Fitted, as_method
 from tallytree.session import settled
 
 INTERVALS = ("normality", "bootstrap", "permbu", "conformal")
@@ -47,10 +46,11 @@ class HierarchicalReconciliation:
     model_names by output column, and diagnostics if asked for.
     """
 
-    def __init__(self, reconcilers: list[Method]):
-        self.reconcilers = reconcilers
+    def __init__(self, reconcilers: list):
+        self.reconcilers = [as_method(r) for r in reconcilers]
         self.orig_reconcilers = list(reconcilers)
-        self.insample = any(r.insample for r in reconcilers)
+        self.insample = any(r.insample for r in self.reconcilers)
+        self.fitted: dict[str, Fitted] = {}
         self.execution_times: dict[str, float] = {}
         self.level_names: dict[str, list[str]] = {}
         self.sample_names: dict[str, list[str]] = {}
@@ -147,11 +147,12 @@ class HierarchicalReconciliation:
         found, names = None, []
         for r in self.reconcilers:
             began = time.time()
-            rec = settled(r.mean(h, fcst, fitted, BY), "means")
+            made = self.fitted[r.name] = r.fit(h, fcst, fitted)
+            rec = settled(made.predict(fcst, BY), "means")
             if level:
-                rec = self._intervals(r, h, Y_hat_df, fcst, fitted, rec, models, level, intervals_method, seed, id_col, time_col)
+                rec = self._intervals(made, h, Y_hat_df, fcst, fitted, rec, models, level, intervals_method, seed, id_col, time_col)
             if num_samples > 0 and level:
-                rec = self._samples(r, h, Y_hat_df, fcst, fitted, rec, models, intervals_method, num_samples, seed, id_col, time_col)
+                rec = self._samples(made, h, Y_hat_df, fcst, fitted, rec, models, intervals_method, num_samples, seed, id_col, time_col)
             for m in models:
                 out = f"{m}/{r.name}"
                 self.model_names[out] = m
@@ -204,14 +205,14 @@ class HierarchicalReconciliation:
             structs.append(F.struct(F.lit(m).alias("model"), I.sigma_from_bounds(pairs).alias("sigma")))
         return wide.select(F.col(tick(id_col)).alias("unique_id"), F.col(tick(time_col)).alias("ds"), F.explode(F.array(*structs)).alias("s")).select("unique_id", "ds", "s.*")
 
-    def _intervals(self, r, h, wide, fcst, fitted, rec, models, level, method, seed, id_col, time_col) -> DataFrame:
-        qs = I.interval_quantiles(level)
+    def _intervals(self, made, h, wide, fcst, fitted, rec, models, level, method, seed, id_col, time_col) -> DataFrame:
+        r, qs = made.method, I.interval_quantiles(level)
         if method == "conformal":
-            return I.conformal(h, r, rec, fitted, qs)
+            return I.conformal(h, made, rec, fitted, qs)
         if method == "bootstrap":
             if not r.linear and getattr(r, "nonnegative", False):
                 raise ValueError("Non-negative methods have no bootstrap intervals.")
-            samples = I.bootstrap_samples(h, r, fcst, fitted, DRAWS, seed)
+            samples = I.bootstrap_samples(h, made, fcst, fitted, DRAWS, seed)
             return rec.join(I.quantiles_of(samples, qs), ["unique_id", *BY])
         if not r.linear:
             raise ValueError(f"{r.name} has no intervals by {method}.")
@@ -220,18 +221,17 @@ class HierarchicalReconciliation:
             samples = I.permbu_samples(h, rec, sigma, fitted, DRAWS, seed)
             return rec.join(I.quantiles_of(samples, qs), ["unique_id", *BY])
         kind = KINDS.get(getattr(r, "method", ""))
-        correlation = I.correlations(fitted, kind, getattr(r, "mint_shr_ridge", C.RIDGE)) if kind else None
-        return I.normal_quantiles(I.normality(h, r, rec, sigma, fitted, correlation), qs).drop("sigma")
+        return I.normal_quantiles(I.normality(h, made, rec, sigma, fitted, kind), qs).drop("sigma")
 
-    def _samples(self, r, h, wide, fcst, fitted, rec, models, method, n, seed, id_col, time_col) -> DataFrame:
+    def _samples(self, made, h, wide, fcst, fitted, rec, models, method, n, seed, id_col, time_col) -> DataFrame:
         mean = rec.select("unique_id", *BY, "yhat")
         if method == "conformal":
-            s = I.conformal_samples(h, r, mean, fitted, n, seed)
+            s = I.conformal_samples(h, made, mean, fitted, n, seed)
         elif method == "bootstrap":
-            s = I.bootstrap_samples(h, r, fcst, fitted, n, seed)
+            s = I.bootstrap_samples(h, made, fcst, fitted, n, seed)
         else:
             sigma = self._sigma(wide, models, id_col, time_col)
-            s = I.permbu_samples(h, mean, sigma, fitted, n, seed) if method == "permbu" else I.normal_samples(h, r, fcst, sigma, fitted, n, seed, KINDS.get(getattr(r, "method", "")))
+            s = I.permbu_samples(h, mean, sigma, fitted, n, seed) if method == "permbu" else made.sample(fcst, sigma, n, seed, KINDS.get(getattr(made.method, "method", "")))
         packed = s.groupBy("unique_id", *BY).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "yhat"))), lambda x: x["yhat"]).alias("samples"))
         return rec.join(packed, ["unique_id", *BY])
 

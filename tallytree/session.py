@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,13 +21,35 @@ def local_session(cores: int = 8, memory: str = "8g", **more: str) -> SparkSessi
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share and read again: a short plan that survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where Spark runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         folder = f"file://{tempfile.mkdtemp(prefix='tallytree-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share and read again: a short plan that survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """``settled``, and sums or extremes of all rows that the write itself has gathered."""
+    told = Observation()
+    table = settled(df.observe(told, *(m.alias(k) for k, m in metrics.items())), name)
+    return table, told.get
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ import pytest
 
 from tallytree.operators import aggregate as A
 from tallytree.operators import covariance as C
-from tallytree.operators import intervals, mintrace
+from tallytree.operators import crossed, intervals, mintrace
 from tallytree.operators import reconcilers as K
 from tallytree.operators.dense import lasso, nnls
 from tallytree.plans.reconciliation import HierarchicalReconciliation
@@ -24,7 +24,7 @@ def world(spark, spec, seed=0):
     cols = spec[-1]
     base = spark.createDataFrame(pd.DataFrame([(*k, 0, 1.0) for k in keys], columns=[*cols, "ds", "y"]))
     _, h = A.aggregate(base, spec)
-    h.cache()
+    h = h.settle()
     s = h.to_numpy()
     ids = [r[0] for r in h.nodes.orderBy("level_ord", "pos").select("unique_id").collect()]
     n, b = s.shape
@@ -96,10 +96,13 @@ def test_full_covariance_and_gaps(tree):
 
 def test_conjugate_gradients_equal_the_dense_system(spark, cross):
     h, s, ids, y_hat, *_, fcst, _ = cross
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    few = fcst.where("ds = 0").select("unique_id", *BY, "yhat")
-    got = dense(mintrace.constrained(h, few, mintrace.structural(h), BY, dense=0, rounds=10), ids)
-    assert np.allclose(got[:, 0], gls(s, np.diag(s.sum(1)), y_hat)[:, 0], atol=1e-6)
+    assert h.chain.levels == (h.levels[0], h.levels[2], h.levels[3]) and h.chain.is_strict
+    w = np.linspace(0.5, 3.0, len(ids))
+    rows = fcst.join(spark.createDataFrame([(i, float(x)) for i, x in zip(ids, w, strict=True)], "unique_id string, w double"), "unique_id")
+    got = dense(crossed.constrained(h, rows, BY), ids)
+    assert np.allclose(got, gls(s, np.diag(w), y_hat), rtol=1e-8)
+    with pytest.raises(ValueError, match="not converged"):
+        crossed.constrained(h, rows, BY, rounds=1)
 
 
 def test_sums_and_shares(tree):
@@ -254,14 +257,22 @@ def test_gaussian_samples_are_coherent_and_weights_correlate(spark, tree):
     for _, one in got.groupby("sample_id"):
         v = one.set_index("unique_id").yhat[ids].to_numpy()
         assert np.allclose(v, s @ v[-s.shape[1] :], atol=1e-6)
-    m = np.zeros((len(ids), len(ids)))
-    for r in K.linear_map(method, h, fitted, ["m"]).collect():
-        m[ids.index(r.unique_id), ids.index(r.source)] = r.x
-    corr = np.eye(len(ids))
     pairs = intervals.correlations(fitted, "shrink")
+    corr = np.eye(len(ids))
     for r in pairs.collect():
         corr[ids.index(r.id1), ids.index(r.id2)] = corr[ids.index(r.id2), ids.index(r.id1)] = r.r
     sd = np.array([1.0 + i for i in range(len(ids))])
+    m = map_of(s, shrunk(y - fit)[1])
     want = np.sqrt(np.diag(m @ (corr * np.outer(sd, sd)) @ m.T))
-    told = {r.unique_id: r.sigma for r in intervals.normality(h, method, method.mean(h, fcst, fitted, BY), sigma, fitted, pairs).collect()}
+    made = method.fit(h, fcst, fitted)
+    rec = made.predict(fcst)
+    told = {r.unique_id: r.sigma for r in intervals.normality(h, made, rec, sigma, fitted, "shrink").collect()}
     assert np.allclose([told[i] for i in ids], want)
+    rows = {r.unique_id: r.sigma for r in intervals.normality(h, made, rec, sigma, fitted, pairs).collect()}
+    assert np.allclose([rows[i] for i in ids], want)
+
+
+def map_of(s, w):
+    """The matrix of least squares with the weights' inverse w."""
+    wi = np.linalg.inv(w)
+    return s @ np.linalg.solve(s.T @ wi @ s, s.T @ wi)
