@@ -1,4 +1,4 @@
-"""Small dense kernels in numpy; callers bound the sizes."""
+"""A small dense kernel in numpy; callers bound its size."""
 
 from __future__ import annotations
 
@@ -27,34 +27,3 @@ def nnls(a: np.ndarray, c: np.ndarray, tolerance: float = 1e-10, rounds: int | N
             free &= x > tolerance
             x[~free] = 0
     raise ValueError("Non-negative least squares have not converged; the matrix may be ill-conditioned.")
-
-
-def lasso_kronecker(s: np.ndarray, f: np.ndarray, z: np.ndarray, lam: float, rounds: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
-    """Lasso coefficients (columns of s) x (columns of f) of the design s (x) f, by cyclic descent.
-
-    z: rows of s x rows of f. The design is never formed: a coordinate's column is one column
-    of s times one of f.
-    """
-    beta, left = np.zeros((s.shape[1], f.shape[1])), z.copy()
-    norm = (s**2).sum(0)[:, None] * (f**2).sum(0)[None, :]
-    n = z.size
-    for _ in range(rounds):
-        most = 0.0
-        for j in range(s.shape[1]):
-            for k in range(f.shape[1]):
-                if norm[j, k] < 1e-8:
-                    continue
-                rho = beta[j, k] + s[:, j] @ left @ f[:, k] / norm[j, k]
-                new = np.sign(rho) * max(abs(rho) - lam * n / norm[j, k], 0.0)
-                if (d := new - beta[j, k]) != 0.0:
-                    left -= d * np.outer(s[:, j], f[:, k])
-                    beta[j, k] = new
-                    most = max(most, abs(d))
-        if most < tolerance:
-            break
-    return beta
-
-
-def lasso(x: np.ndarray, z: np.ndarray, lam: float, rounds: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
-    """Lasso coefficients by cyclic descent."""
-    return lasso_kronecker(np.ones((1, 1)), x, z[None, :], lam, rounds, tolerance)[0]

@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallytree.functions.arrays import packed
 from tallytree.hierarchy import Hierarchy
-from tallytree.operators.dense import lasso_kronecker
-from tallytree.operators.mintrace import _arrays
-from tallytree.operators.projection import Projection, diagonal, learned
-from tallytree.operators.reconcile import bottom_of
+from tallytree.operators import lasso
+from tallytree.operators.projection import SERIES, Projection, diagonal, learned
+from tallytree.operators.reconcile import bottom_of, summed
 from tallytree.session import settled
 
 
@@ -48,35 +47,38 @@ def erm_closed(h: Hierarchy, fcst: DataFrame, fitted: DataFrame) -> Projection:
     return learned(h, fit, good.select("model", "unique_id", F.col("ds").alias("t"), F.col("yhat").cast("double").alias("x")))
 
 
-def erm_lasso(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, around_bottom_up: bool, lam: float | None, vec_order: str = "reference", most: int = 250_000) -> DataFrame:
-    """(model, unique_id, source, x): sparse projections to the bottom series by lasso. The coefficients, one per bottom series and series, number at most ``most``.
+def erm_lasso(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, around_bottom_up: bool, lam: float | None, vec_order: str = "reference") -> DataFrame:
+    """(model, unique_id, source, x): sparse projections to the bottom series by lasso.
 
     vec_order: ``math`` reads the coefficients as the design is ordered, ``reference`` in the
     transposed order that published implementations use.
     """
     n, b = h.shape
-    if n * b > most:
-        raise ValueError(f"The lasso has {n * b} coefficients; at most {most} are allowed. Use another method.")
-    ids = [r[0] for r in h.nodes.orderBy("level_ord", "pos").select("unique_id").collect()]
-    s, out = h.to_numpy(), []
     horizon = fcst.agg(F.count_distinct("ds")).first()[0]
     good = complete(fitted, horizon)
-    for model in [r[0] for r in fcst.select("model").distinct().collect()]:
-        part = good.where(F.col("model") == model)
-        names, _, x = _arrays(part, "unique_id", "ds", "yhat")
-        order = [names.index(i) for i in ids]
-        _, _, y = _arrays(part, "unique_id", "ds", "y")
-        x, z = x[order], y[order]
-        start = np.zeros((n, b))
-        start[n - b :] = s[n - b :]
-        flat = start.reshape(-1).reshape(b, n)
-        if around_bottom_up:
-            z = z - s @ flat @ x
-        strength = float(np.abs(s.T @ z @ x.T).max()) if lam is None else lam
-        beta = lasso_kronecker(s, x.T, z, strength)
-        if vec_order == "math":
-            p = beta + (start.T if around_bottom_up else 0)
-        else:
-            p = (beta.reshape(-1) + (start.reshape(-1) if around_bottom_up else 0)).reshape(n, b).T
-        out += [(model, ids[n - b + i], ids[j], float(p[i, j])) for i, j in zip(*np.nonzero(p), strict=True)]
-    return h.spark.createDataFrame(out, "model string, unique_id string, source string, x double")
+    rows = settled(packed(good, SERIES, "ds", x=F.col("yhat").cast("double"), z=F.col("y").cast("double")), "insample")
+    n_times = rows.select(F.max(F.size("x"))).first()[0]
+    at = settled(lasso.places(h), "places")
+    k = F.col("place").cast("long") - (n - b)  # places of the bottom series among themselves
+    z = rows.select(*SERIES, "z")
+    if around_bottom_up:
+        # The coefficients of bottom-up in the order in which the design reads them.
+        flat = (F.col("place").cast("long") * b + k)
+        ones = at.where(F.col("place") >= n - b).select((flat / n).cast("long").alias("row"), F.pmod(flat, F.lit(n)).alias("source"))
+        own = at.where(F.col("place") >= n - b).select(F.col("unique_id").alias("bottom"), k.alias("row"))
+        made = ones.join(at.select(F.col("unique_id").alias("_source"), F.col("place").cast("long").alias("source")), "source").join(own, "row")
+        each = made.join(rows.select("model", F.col("unique_id").alias("_source"), "x"), "_source").select(F.col("bottom").alias("unique_id"), "model", F.posexplode("x").alias("t", "yhat"))
+        sums = packed(summed(h, each.groupBy("unique_id", "model", "t").agg(F.sum("yhat").alias("yhat")), ["model", "t"]), SERIES, "t", y=F.col("yhat"))
+        z = z.join(sums, SERIES, "left").select(*SERIES, F.when(F.col("y").isNull(), F.col("z")).otherwise(F.zip_with("z", "y", lambda v, y: v - y)).alias("z"))
+    found = lasso.coefficients(h, rows.select(*SERIES, "x"), z, lam, n_times).join(at, "unique_id").withColumn("i", k)
+    if vec_order == "math":
+        found = found.select("model", F.col("i").alias("bottom"), F.col("j").cast("long").alias("source"), "x")
+    else:
+        flat = F.col("i") * n + F.col("j")
+        found = found.select("model", F.pmod(flat, F.lit(b)).alias("bottom"), (flat / b).cast("long").alias("source"), "x")
+    named = found.join(at.select((F.col("place").cast("long") - (n - b)).alias("bottom"), "unique_id"), "bottom").join(at.select(F.col("place").cast("long").alias("source"), F.col("unique_id").alias("_source")), "source")
+    named = named.select("model", "unique_id", F.col("_source").alias("source"), "x")
+    if around_bottom_up:
+        same = h.nodes.where("is_bottom").select("unique_id").join(rows.select("model").distinct(), F.lit(True))  # a row per model
+        named = named.unionByName(same.select("model", "unique_id", F.col("unique_id").alias("source"), F.lit(1.0).alias("x")))
+    return named.groupBy("model", "unique_id", "source").agg(F.sum("x").alias("x"))

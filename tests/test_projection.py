@@ -9,6 +9,7 @@ from test_reconcile import BY, CROSS, TREE, H, T, dense, gls, map_of, shrunk, wo
 from tallytree.operators import covariance as C
 from tallytree.operators import intervals, nonnegative
 from tallytree.operators import reconcilers as K
+from tallytree.operators.lasso import row_lasso
 from tallytree.plans.reconciliation import HierarchicalReconciliation
 
 
@@ -203,3 +204,50 @@ def test_copula_draws_follow_the_ranks_of_errors(spark, tree):
         assert np.allclose(np.sort(own), np.sort(sums)) and not np.allclose(own, sums)
         orders.append([int(np.abs(sums - v).argmin()) for v in own])
     assert orders[0] == orders[1]
+
+
+def descent(x, z, lam):
+    """Plain cyclic descent on a dense design."""
+    beta, left, norm = np.zeros(x.shape[1]), z.copy(), (x**2).sum(0)
+    for _ in range(100_000):
+        old = beta.copy()
+        for j in range(x.shape[1]):
+            rho = beta[j] + x[:, j] @ left / norm[j]
+            new = np.sign(rho) * max(abs(rho) - lam * len(z) / norm[j], 0.0)
+            left, beta[j] = left - (new - beta[j]) * x[:, j], new
+        if np.abs(beta - old).max() < 1e-10:
+            return beta
+    raise AssertionError("the check has not converged")
+
+
+def test_the_lasso_equals_descent_by_coordinates(spark, tree):
+    """Rows of coefficients against descent on the whole design, at strengths that keep some of them."""
+    h, s, ids, y_hat, y, fit, fcst, fitted = tree
+    n, b = s.shape
+    x, z = fit[:, -H:], y[:, -H:]
+    start = np.vstack([np.zeros((n - b, b)), np.eye(b)])
+    for share, around, order in ((0.3, False, "math"), (0.05, True, "reference")):
+        target = z - s @ start.reshape(b, n) @ x if around else z
+        lam = share * np.abs(s.T @ target @ x.T).max() / z.size
+        beta = descent(np.kron(s, x.T), target.reshape(-1), lam).reshape(b, n)
+        assert 0 < (beta != 0).sum() < b * n
+        p = ((beta.T if order == "math" else beta.reshape(-1).reshape(n, b)) + (start if around else 0)).T
+        made = K.ERM("reg_bu" if around else "reg", lam, order).fit(h, fcst, fitted)
+        assert np.allclose(dense(made.predict(fcst), ids), s @ p @ y_hat, rtol=1e-4, atol=1e-5 * np.abs(y_hat).max()), order
+        if order == "math":
+            got = np.zeros((b, n))
+            for r in made.rows.collect():
+                got[ids.index(r.unique_id) - (n - b), ids.index(r.source)] = r.x
+            objective = lambda v: ((target - s @ v @ x) ** 2).sum() / 2 + lam * z.size * np.abs(v).sum()
+            assert objective(got) <= objective(beta) * (1 + 1e-7)
+
+
+def test_row_lasso_meets_its_conditions():
+    rng = np.random.default_rng(6)
+    for n, t, strength in ((3, 8, 0.1), (200, 4, 0.5), (50, 12, 2.0), (5, 5, 1e9)):
+        x, p = rng.normal(size=(n, t)), rng.normal(size=t) * 5
+        beta = row_lasso(p, x, strength, {0: 1.0})
+        left = p - sum((v * x[j] for j, v in beta.items()), np.zeros(t))
+        pull = x @ left
+        assert (np.abs(pull) <= strength + 1e-7).all() and len(beta) <= t
+        assert all(abs(pull[j] - strength * np.sign(v)) < 1e-6 for j, v in beta.items())
