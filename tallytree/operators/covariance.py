@@ -22,9 +22,9 @@ def errors(fitted: DataFrame) -> DataFrame:
     return fitted.select("unique_id", "ds", "model", F.when(~F.isnan(e), e).alias("e"))
 
 
-def _masked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _masked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all pairs of rows of two series x times arrays with gaps (NaN), over the times that both have:
-    the covariance, the variance of their mean product when standardised, and that product's square.
+    the covariance, the variance of their mean product when standardised, that product's square, and their number.
 
     Everything comes from products of the arrays, their squares and masks.
     """
@@ -47,7 +47,7 @@ def _masked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     mean = a @ b.T / some - mu * nu
     squares = a2 @ b2.T - 2 * nu * (a2 @ b.T) + nu * nu * (a2 @ m2.T) - 2 * mu * (a @ b2.T) + 4 * mu * nu * (a @ b.T) - 2 * mu * nu * nu * sa + mu * mu * (m1 @ b2.T) - 2 * mu * mu * nu * sb + k * mu * mu * nu * nu
     spread = np.where(k > 1, (squares - k * mean * mean) / (some * np.maximum(k - 1, 1.0)), 0.0)
-    return cov, spread, np.where(k > 1, mean * mean, 0.0)
+    return cov, spread, np.where(k > 1, mean * mean, 0.0), k
 
 
 #: Series in a block of a masked product.
@@ -55,7 +55,7 @@ BLOCK = 128
 
 
 def masked_pairs(e: DataFrame) -> DataFrame:
-    """(model, id1, id2, cov, spread, square), id1 <= id2, of errors with gaps, over the times that both series have.
+    """(model, id1, id2, cov, spread, square, n), id1 <= id2, of errors with gaps, over the times that both series have.
 
     cov is 0 for one time or none. Series are packed into blocks of about BLOCK with an array over all times
     each; a task makes all pairs of two blocks. The result has a row per pair of series by definition.
@@ -80,23 +80,23 @@ def masked_pairs(e: DataFrame) -> DataFrame:
                 i, j = np.nonzero(np.triu(np.ones(found[0].shape))) if r["block"] == r["block2"] else np.nonzero(np.ones(found[0].shape))
                 first, second = ids[i], ids2[j]
                 low = first <= second
-                yield pa.RecordBatch.from_arrays([pa.array([r["model"]] * len(i)), pa.array(np.where(low, first, second), pa.string()), pa.array(np.where(low, second, first), pa.string()), *(pa.array(m[i, j]) for m in found)], names=["model", "id1", "id2", "cov", "spread", "square"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["model"]] * len(i)), pa.array(np.where(low, first, second), pa.string()), pa.array(np.where(low, second, first), pa.string()), *(pa.array(m[i, j]) for m in found)], names=["model", "id1", "id2", "cov", "spread", "square", "n"])
 
-    return pairs.mapInArrow(work, "model string, id1 string, id2 string, cov double, spread double, square double")
+    return pairs.mapInArrow(work, "model string, id1 string, id2 string, cov double, spread double, square double, n double")
 
 
 def masked_covariance(e: DataFrame) -> DataFrame:
-    """(model, id1, id2, cov), id1 <= id2: over the times that both series have; 0 for one time or none."""
-    return masked_pairs(e).select("model", "id1", "id2", "cov")
+    """(model, id1, id2, cov, n), id1 <= id2: over the n times that both series have; 0 for one time or none."""
+    return masked_pairs(e).select("model", "id1", "id2", "cov", "n")
 
 
 def masked_shrunk(e: DataFrame, ridge: float = RIDGE) -> DataFrame:
-    """(model, id1, id2, cov), id1 <= id2: the shrunk covariances of errors with gaps."""
+    """(model, id1, id2, cov, n), id1 <= id2: the shrunk covariances of errors with gaps."""
     pairs = settled(masked_pairs(e), "pairs")
     off = pairs.groupBy("model").agg(F.sum(F.when(F.col("id1") != F.col("id2"), F.col("spread"))).alias("v"), F.sum(F.when(F.col("id1") != F.col("id2"), F.col("square"))).alias("s"))
     lam = F.least(F.greatest(F.coalesce(F.col("v") / (F.col("s") + EPS), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     cov = F.when(F.col("id1") == F.col("id2"), F.greatest("cov", F.lit(ridge))).otherwise((1 - F.col("lam")) * F.col("cov"))
-    return pairs.join(F.broadcast(off.select("model", lam.alias("lam"))), "model").select("model", "id1", "id2", cov.alias("cov"))  # a row per model
+    return pairs.join(F.broadcast(off.select("model", lam.alias("lam"))), "model").select("model", "id1", "id2", cov.alias("cov"), "n")  # a row per model
 
 
 def centred(e: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def shrinkage(c: DataFrame) -> DataFrame:
 
 def shrunk_masked(res: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """The shrunk covariance of a dense series x times array with gaps (NaN)."""
-    w, spread, square = _masked(res, res)
+    w, spread, square, _ = _masked(res, res)
     off = ~np.eye(len(res), dtype=bool)
     keep = 1 - min(max(spread[off].sum() / 2 / (square[off].sum() / 2 + EPS), 0.0), 1.0)
     return np.where(off, keep * w, np.maximum(np.diag(w), ridge)[:, None])

@@ -22,7 +22,7 @@ from tallytree.operators.projection import correlation as factor_correlation
 from tallytree.operators.projection import factor
 from tallytree.operators.reconcile import need_strict
 from tallytree.operators.reconcilers import BottomUp, Fitted, Method, TopDown, as_fitted, linear_map, models_of
-from tallytree.session import settled
+from tallytree.session import observed, settled
 
 BY = ["ds", "model"]
 
@@ -92,7 +92,9 @@ def correlations(fitted: DataFrame, kind: str = "full", ridge: float = C.RIDGE)
         cov = C.masked_covariance(e)
     else:
         raise ValueError(f"Unknown covariance type: {kind}")
-    cov = settled(cov, "covariances")
+    cov, told = observed(cov, "covariances", short=F.count_if((F.col("id1") == F.col("id2")) & (F.col("n") < 2)))
+    if told["short"]:
+        raise ValueError(f"{told['short']} series have fewer than 2 errors in sample; a correlation needs 2.")
     std = cov.where("id1 = id2").select("model", F.col("id1").alias("id"), F.greatest(F.sqrt("cov"), F.lit(1e-8)).alias("s"))
     both = cov.join(std.withColumnsRenamed({"id": "id1", "s": "s1"}), ["model", "id1"]).join(std.withColumnsRenamed({"id": "id2", "s": "s2"}), ["model", "id2"])
     r = F.least(F.greatest(F.col("cov") / (F.col("s1") * F.col("s2")), F.lit(-1.0)), F.lit(1.0))
@@ -104,40 +106,53 @@ def normal_quantiles(rec: DataFrame, quantiles: list[float]) -> DataFrame:
     return rec.withColumn("q", F.array(*(F.col("yhat") + F.lit(z_of(q)) * F.col("sigma") for q in quantiles)))
 
 
-def hashed_normal(seed: int, *keys: str) -> Column:
-    """A standard normal number that is a function of the seed and the keys."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def seeded(seed: int | list[int]) -> tuple[list[int], list[str]]:
+    """The seeds, and the column that tells them apart where there are several."""
+    return (seed, ["seed"]) if isinstance(seed, list) else ([seed], [])
+
+
+def each_seed(df: DataFrame, seeds: list[int]) -> DataFrame:
+    """df for every seed, in a column ``seed``."""
+    return df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+
+
+def hashed_normal(seed: int | str, *keys: str) -> Column:
+    """A standard normal number that is a function of the seed (a number, or a column's name) and the keys."""
+    seed = F.col(seed) if isinstance(seed, str) else F.lit(seed)
+    u = lambda k: (F.pmod(F.xxhash64(seed, F.lit(k), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
 
 
-def independent_samples(rec: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n draws of each forecast (yhat, sigma) by itself: unique_id, ds, model, sample_id, yhat."""
-    each = rec.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return each.select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("sigma") * hashed_normal(seed, "unique_id", "ds", "model", "sample_id")).alias("yhat"))
+def independent_samples(rec: DataFrame, n: int, seed: int | list[int] = 0) -> DataFrame:
+    """n draws of each forecast (yhat, sigma) by itself: unique_id, ds, model, sample_id, yhat, and seed for a list of seeds."""
+    seeds, more = seeded(seed)
+    each = each_seed(rec.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), seeds)
+    return each.select("unique_id", *BY, *more, "sample_id", (F.col("yhat") + F.col("sigma") * hashed_normal("seed", "unique_id", "ds", "model", "sample_id")).alias("yhat"))
 
 
-def normal_samples(h: Hierarchy, method: Method | Fitted, fcst: DataFrame, sigma: DataFrame, fitted: DataFrame | None, n: int, seed: int = 0, kind: str | None = None) -> DataFrame:
-    """n coherent draws of the reconciled forecasts: unique_id, ds, model, sample_id, yhat.
+def normal_samples(h: Hierarchy, method: Method | Fitted, fcst: DataFrame, sigma: DataFrame, fitted: DataFrame | None, n: int, seed: int | list[int] = 0, kind: str | None = None) -> DataFrame:
+    """n coherent draws of the reconciled forecasts: unique_id, ds, model, sample_id, yhat, and seed for a list of seeds.
 
     The forecasts' own errors are drawn and mapped as the forecasts are. kind: None for
     uncorrelated errors; ``full`` or ``shrink`` gives them the correlation of the errors in
     sample, by normal weights on the times in sample, so no row per pair of series is made.
     """
+    seeds, more = seeded(seed)
     draws = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id")
-    each = fcst.join(sigma, ["unique_id", *BY]).select("unique_id", *BY, "yhat", "sigma", draws)
-    own = hashed_normal(seed, "unique_id", "ds", "model", "sample_id")
+    each = each_seed(fcst.join(sigma, ["unique_id", *BY]).select("unique_id", *BY, "yhat", "sigma", draws), seeds)
+    own = hashed_normal("seed", "unique_id", "ds", "model", "sample_id")
     if kind is None:
         z = own
     else:
-        past = C.centred(C.errors(fitted))
+        past = settled(C.centred(C.errors(fitted)), "errors")
         lam = C.shrinkage(past).select("model", "lam") if kind == "shrink" else past.select("model", F.lit(0.0).alias("lam")).distinct()
         past = past.where("var > 1e-16").select("model", "unique_id", F.col("ds").alias("_t"), (F.col("c") / F.sqrt(F.col("var") * (F.col("T") - 1))).alias("_x"))
-        grid = each.select(*BY, "sample_id").distinct().join(past.select("model", "_t").distinct(), "model").withColumn("_g", hashed_normal(seed, "_t", "ds", "model", "sample_id"))
-        common = grid.join(past, ["model", "_t"]).groupBy("unique_id", *BY, "sample_id").agg(F.sum(F.col("_g") * F.col("_x")).alias("_z"))
-        each = each.join(common, ["unique_id", *BY, "sample_id"], "left").join(lam, "model")
+        grid = each.select(*BY, "seed", "sample_id").distinct().join(past.select("model", "_t").distinct(), "model").withColumn("_g", hashed_normal("seed", "_t", "ds", "model", "sample_id"))
+        common = grid.join(past, ["model", "_t"]).groupBy("unique_id", *BY, "seed", "sample_id").agg(F.sum(F.col("_g") * F.col("_x")).alias("_z"))
+        each = each.join(common, ["unique_id", *BY, "seed", "sample_id"], "left").join(lam, "model")
         z = F.when(F.col("_z").isNull(), own).otherwise(F.sqrt(1 - F.col("lam")) * F.col("_z") + F.sqrt("lam") * own)
-    drawn = each.select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("sigma") * z).alias("yhat"))
-    return as_fitted(method, h, fcst, fitted).predict(drawn, [*BY, "sample_id"])
+    drawn = each.select("unique_id", *BY, *more, "sample_id", (F.col("yhat") + F.col("sigma") * z).alias("yhat"))
+    return as_fitted(method, h, fcst, fitted).predict(drawn, [*BY, *more, "sample_id"])
 
 
 def residual_rows(fitted: DataFrame) -> DataFrame:
@@ -155,16 +170,23 @@ def drawn_starts(n_times: int, horizon: int, n: int, seed: int) -> list[int]:
     return np.random.default_rng(seed).choice(np.arange(n_times - horizon), size=n).tolist()
 
 
-def bootstrap_samples(h: Hierarchy, method: Method | Fitted, fcst: DataFrame, fitted: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Forecasts plus blocks of errors, reconciled: unique_id, ds, model, sample_id, yhat."""
+def _choices(found: list[list[int]], seeds: list[int]) -> Column:
+    """(seed, sample_id, choice) of each seed's choices; as many as there are seeds and samples."""
+    cells = (F.struct(F.lit(x).alias("seed"), F.lit(k).alias("sample_id"), F.lit(int(c)).alias("choice")) for x, own in zip(seeds, found, strict=True) for k, c in enumerate(own))
+    return F.explode(F.array(*cells)).alias("_c")
+
+
+def bootstrap_samples(h: Hierarchy, method: Method | Fitted, fcst: DataFrame, fitted: DataFrame, n: int, seed: int | list[int] = 0) -> DataFrame:
+    """Forecasts plus blocks of errors, reconciled: unique_id, ds, model, sample_id, yhat, and seed for a list of seeds."""
+    seeds, more = seeded(seed)
     res = residual_rows(fitted)
     step = fcst.withColumn("_h", F.row_number().over(Window.partitionBy("unique_id", "model").orderBy("ds")) - 1)
     n_times = res.agg(F.max("ordinal")).first()[0] + 1
     horizon = step.agg(F.max("_h")).first()[0] + 1
-    starts = F.posexplode(F.array(*(F.lit(int(x)) for x in drawn_starts(n_times, horizon, n, seed)))).alias("sample_id", "_start")
-    each = step.select("unique_id", *BY, "yhat", "_h", starts).withColumn("ordinal", F.col("_start") + F.col("_h"))
-    moved = each.join(res, ["unique_id", "model", "ordinal"]).select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("e")).alias("yhat"))
-    return as_fitted(method, h, fcst, fitted).predict(moved, [*BY, "sample_id"])
+    starts = _choices([drawn_starts(n_times, horizon, n, x) for x in seeds], seeds)
+    each = step.select("unique_id", *BY, "yhat", "_h", starts).select("unique_id", *BY, "yhat", "_c.seed", "_c.sample_id", (F.col("_c.choice") + F.col("_h")).alias("ordinal"))
+    moved = each.join(res, ["unique_id", "model", "ordinal"]).select("unique_id", *BY, *more, "sample_id", (F.col("yhat") + F.col("e")).alias("yhat"))
+    return as_fitted(method, h, fcst, fitted).predict(moved, [*BY, *more, "sample_id"])
 
 
 def quantiles_of(samples: DataFrame, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
@@ -199,21 +221,22 @@ def conformal_levels(scores: DataFrame, rec: DataFrame, level: float) -> DataFra
     return rec.join(bounds, ["unique_id", "model"]).withColumn("lo", F.col("yhat") + F.col("_lo")).withColumn("hi", F.col("yhat") + F.col("_hi")).drop("_lo", "_hi")
 
 
-def conformal_samples(h: Hierarchy, method: Method | Fitted, rec: DataFrame, fitted: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n draws: at one time and sample all series take their scores of the same time in sample."""
+def conformal_samples(h: Hierarchy, method: Method | Fitted, rec: DataFrame, fitted: DataFrame, n: int, seed: int | list[int] = 0) -> DataFrame:
+    """n draws (by seed, for a list of seeds): at one time and sample all series take their scores of the same time in sample."""
     if n <= 0:
         raise ValueError("The number of samples must be positive.")
     scores = conformal_scores(h, method, fitted)
     times = scores.select("model", "ds").distinct().withColumn("k", F.row_number().over(Window.partitionBy("model").orderBy("ds")) - 1)
     count = times.agg(F.max("k")).first()[0] + 1
     numbered = scores.join(times, ["model", "ds"]).select("model", "unique_id", "k", "score")
-    pick = F.pmod(F.xxhash64(F.lit(seed), "ds", "sample_id"), F.lit(count)).cast("int")
-    each = rec.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", pick)
-    return each.join(numbered, ["model", "unique_id", "k"]).select("unique_id", *BY, "sample_id", (F.col("yhat") + F.col("score")).alias("yhat"))
+    seeds, more = seeded(seed)
+    pick = F.pmod(F.xxhash64("seed", "ds", "sample_id"), F.lit(count)).cast("int")
+    each = each_seed(rec.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), seeds).withColumn("k", pick)
+    return each.join(numbered, ["model", "unique_id", "k"]).select("unique_id", *BY, *more, "sample_id", (F.col("yhat") + F.col("score")).alias("yhat"))
 
 
-def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataFrame, n: int | None = None, seed: int = 0, sort_first: bool = True) -> DataFrame:
-    """Copula samples on a tree, bottom upwards: unique_id, ds, model, sample_id, yhat.
+def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataFrame, n: int | None = None, seed: int | list[int] = 0, sort_first: bool = True) -> DataFrame:
+    """Copula samples on a tree, bottom upwards: unique_id, ds, model, sample_id, yhat, and seed for a list of seeds.
 
     Sorted Gaussian draws of the children take the order of the ranks of their errors and are
     summed to the parent's draws, level by level, so the siblings' dependence is that of the
@@ -224,34 +247,34 @@ def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataF
     res = residual_rows(fitted)
     n_times = res.agg(F.max("ordinal")).first()[0] + 1
     n = n or n_times
-    rng = np.random.default_rng(seed)
-    picks = rng.choice(n_times, size=n, replace=n > n_times).tolist()
-    pick = F.posexplode(F.array(*map(F.lit, picks))).alias("sample_id", "ordinal")
-    chosen = h.spark.range(1).select(pick)
-    ranks = res.join(F.broadcast(chosen), "ordinal")  # a row per sample
-    ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("model", "unique_id").orderBy("e", "sample_id")) - 1).select("model", "unique_id", "sample_id", "rank")
-    draws = independent_samples(rec.select("unique_id", *BY, "yhat").join(sigma, ["unique_id", *BY]), n, seed)
+    seeds, more = seeded(seed)
+    picks = [np.random.default_rng(x).choice(n_times, size=n, replace=n > n_times).tolist() for x in seeds]
+    chosen = h.spark.range(1).select(_choices(picks, seeds)).select("_c.seed", "_c.sample_id", F.col("_c.choice").alias("ordinal"))
+    ranks = res.join(F.broadcast(chosen), "ordinal")  # a row per seed and sample
+    ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("model", "unique_id", "seed").orderBy("e", "sample_id")) - 1).select("model", "unique_id", "seed", "sample_id", "rank")
+    by = [*BY, "seed"]
+    draws = independent_samples(rec.select("unique_id", *BY, "yhat").join(sigma, ["unique_id", *BY]), n, seeds)
     at = draws.join(h.nodes.select("unique_id", "level_ord"), "unique_id")
     edges = h.edges.select("parent_id", F.col("child_id").alias("unique_id"))
 
     def reordered(d: DataFrame) -> DataFrame:
-        order = Window.partitionBy("unique_id", *BY).orderBy("yhat", "sample_id") if sort_first else Window.partitionBy("unique_id", *BY).orderBy("sample_id")
+        order = Window.partitionBy("unique_id", *by).orderBy("yhat", "sample_id") if sort_first else Window.partitionBy("unique_id", *by).orderBy("sample_id")
         placed = d.withColumn("rank", F.row_number().over(order) - 1).drop("sample_id")
-        return placed.join(ranks, ["model", "unique_id", "rank"]).select("unique_id", *BY, "sample_id", "yhat")
+        return placed.join(ranks, ["model", "unique_id", "seed", "rank"]).select("unique_id", *by, "sample_id", "yhat")
 
     def shuffled(d: DataFrame) -> DataFrame:
         """Draws in another order, a function of seed and series alone; the same at all times ahead."""
-        key = F.xxhash64(F.lit(seed), F.lit("order"), "unique_id", "sample_id")
-        order = Window.partitionBy("unique_id", *BY).orderBy(key, "sample_id")
+        key = F.xxhash64("seed", F.lit("order"), "unique_id", "sample_id")
+        order = Window.partitionBy("unique_id", *by).orderBy(key, "sample_id")
         return d.withColumn("sample_id", (F.row_number().over(order) - 1).cast("int"))
 
-    level = reordered(at.where(F.col("level_ord") == len(h.levels) - 1).select("unique_id", *BY, "sample_id", "yhat"))
+    level = reordered(at.where(F.col("level_ord") == len(h.levels) - 1).select("unique_id", *by, "sample_id", "yhat"))
     out = level
     for k in range(len(h.levels) - 2, -1, -1):
-        parent = shuffled(level.join(edges, "unique_id").groupBy(F.col("parent_id").alias("unique_id"), *BY, "sample_id").agg(F.sum("yhat").alias("yhat")))
+        parent = shuffled(level.join(edges, "unique_id").groupBy(F.col("parent_id").alias("unique_id"), *by, "sample_id").agg(F.sum("yhat").alias("yhat")))
         out = out.unionByName(parent)
         level = reordered(parent) if k else parent
-    return out
+    return out.select("unique_id", *BY, *more, "sample_id", "yhat")
 
 
 def samples_to_quantiles(samples: DataFrame, quantiles: list[float] | None = None, level: list[float] | None = None, model: str = "model") -> DataFrame:

@@ -8,6 +8,7 @@ the history's size are solved on the driver.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from tallytree.operators import covariance as C
 from tallytree.operators import trees
 from tallytree.operators.crossed import constrained
 from tallytree.operators.reconcile import coherence_residual, summed
-from tallytree.session import settled
+from tallytree.session import observed, settled
 
 SERIES = ["model", "unique_id"]
 
@@ -116,7 +117,10 @@ def from_weights(h: Hierarchy, weights: DataFrame, models: list[str]) -> Project
     """The least weighted change with diagonal weights (unique_id, w, and model if they differ by model)."""
     if "model" not in weights.columns:
         weights = weights.withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    return Projection(h, settled(weights.select(*SERIES, "w"), "weights"), "solved")
+    table, told = observed(weights.select(*SERIES, "w"), "weights", bad=F.count_if(F.col("w").isNull() | F.isnan("w") | (F.col("w") <= 0)))
+    if told["bad"]:
+        raise ValueError(f"{told['bad']} weights are missing or not positive; variances must be above 0.")
+    return Projection(h, table, "solved")
 
 
 def factor(fitted: DataFrame, method: str, ridge: float) -> tuple[DataFrame, dict[str, float]]:
@@ -124,7 +128,13 @@ def factor(fitted: DataFrame, method: str, ridge: float) -> tuple[DataFrame, dic
 
     f: the centred errors, scaled, by time. Only for errors without gaps.
     """
-    c = settled(C.centred(C.errors(fitted)), "errors")
+    if method not in ("mint_cov", "mint_shrink", "full", "shrink"):
+        raise ValueError(f"Unknown covariance type: {method}")
+    c, told = observed(C.centred(C.errors(fitted)), "errors", least=F.min("T"), series=F.approx_count_distinct("unique_id"))
+    if (told["least"] or 0) < 2:
+        raise ValueError(f"Some series have {told['least'] or 0} errors in sample; a covariance needs at least 2.")
+    if method == "full" and told["series"] > told["least"]:
+        warnings.warn(f"About {told['series']} series have {told['least']} errors in sample: their full covariance is not positive definite; shrink is more stable.", stacklevel=3)
     lam = {r.model: r.lam for r in C.shrinkage(c).collect()} if method in ("mint_shrink", "shrink") else {}
     models = [r[0] for r in c.select("model").distinct().collect()]
     share = F.create_map(*(F.lit(x) for m in models for x in (m, float(np.sqrt(1.0 - lam.get(m, 0.0))))))

@@ -132,9 +132,14 @@ class HierarchicalReconciliation:
         temporal: bool = False,
         diagnostics: bool = False,
         diagnostics_atol: float = 1e-6,
+        seeds: list[int] | None = None,
     ) -> DataFrame:
-        """Y_hat_df with columns ``<model>/<method>`` (and bounds ``-lo-L``, ``-hi-L``, and ``-sample-i``)."""
+        """Y_hat_df with columns ``<model>/<method>`` (and bounds ``-lo-L``, ``-hi-L``, and ``-sample-i``).
+
+        seeds: rows for each of several seeds, told apart by a column ``seed``; one fit and one plan for all.
+        """
         h, level = hierarchy, sorted(level) if level else None
+        seed = seeds or seed
         models = self._checked(Y_hat_df, h, Y_df, level, intervals_method, id_col, time_col, target_col, id_time_col if temporal else None)
         if temporal:
             # A series' k-th bucket of each level is one column of the problem; ids are the buckets.
@@ -149,6 +154,8 @@ class HierarchicalReconciliation:
             began = time.time()
             made = self.fitted[r.name] = r.fit(h, fcst, fitted)
             rec = settled(made.predict(fcst, BY), "means")
+            if seeds:
+                rec = I.each_seed(rec, seeds)
             if level:
                 rec = self._intervals(made, h, Y_hat_df, fcst, fitted, rec, models, level, intervals_method, seed, id_col, time_col)
             if num_samples > 0 and level:
@@ -165,9 +172,10 @@ class HierarchicalReconciliation:
             one = settled(rec, "reconciled").withColumn("_rec", F.lit(r.name))
             found = one if found is None else found.unionByName(one, allowMissingColumns=True)
         cells = found.withColumn("_column", F.concat_ws("/", "model", "_rec"))
-        wide = self._wide(cells, [n[0] for n in names], level, num_samples)
+        more = ["seed"] if seeds else []
+        wide = self._wide(cells, [n[0] for n in names], level, num_samples, more)
         if diagnostics:
-            parts = [diagnosed(h, fcst, found.where(F.col("_rec") == r.name).select("unique_id", *BY, "yhat"), diagnostics_atol).withColumn("model", F.concat(F.col("model"), F.lit(f"/{r.name}"))) for r in self.reconcilers]
+            parts = [diagnosed(h, fcst, found.where(F.col("_rec") == r.name).select("unique_id", *BY, "yhat").distinct(), diagnostics_atol).withColumn("model", F.concat(F.col("model"), F.lit(f"/{r.name}"))) for r in self.reconcilers]
             every = parts[0]
             for p in parts[1:]:
                 every = every.unionByName(p)
@@ -175,16 +183,16 @@ class HierarchicalReconciliation:
         on = {"unique_id": id_time_col, "ds": id_col} if temporal else {"unique_id": id_col, "ds": time_col}
         return Y_hat_df.join(wide.withColumnsRenamed(on), list(on.values()), "left")
 
-    def _wide(self, cells: DataFrame, columns: list[str], level: list[float] | None, num_samples: int) -> DataFrame:
+    def _wide(self, cells: DataFrame, columns: list[str], level: list[float] | None, num_samples: int, more: list[str]) -> DataFrame:
         values = [F.first("yhat").alias("mean")]
         if level:
             values.append(F.first("q").alias("q"))
         if level and num_samples > 0:
             values.append(F.first("samples").alias("samples"))
-        packed = cells.groupBy("unique_id", "ds").pivot("_column", columns).agg(F.struct(*values)) if len(values) > 1 else cells.groupBy("unique_id", "ds").pivot("_column", columns).agg(values[0])
+        packed = cells.groupBy("unique_id", "ds", *more).pivot("_column", columns).agg(F.struct(*values)) if len(values) > 1 else cells.groupBy("unique_id", "ds", *more).pivot("_column", columns).agg(values[0])
         if len(values) == 1:
             return packed
-        out = [F.col("unique_id"), F.col("ds")]
+        out = [F.col(c) for c in ("unique_id", "ds", *more)]
         for c in columns:
             out.append(F.col(f"{tick(c)}.mean").alias(c))
             # q ascends: bounds from the widest lower one to the widest upper one.
@@ -206,25 +214,26 @@ class HierarchicalReconciliation:
         return wide.select(F.col(tick(id_col)).alias("unique_id"), F.col(tick(time_col)).alias("ds"), F.explode(F.array(*structs)).alias("s")).select("unique_id", "ds", "s.*")
 
     def _intervals(self, made, h, wide, fcst, fitted, rec, models, level, method, seed, id_col, time_col) -> DataFrame:
-        r, qs = made.method, I.interval_quantiles(level)
+        r, qs, by = made.method, I.interval_quantiles(level), [*BY, *I.seeded(seed)[1]]
+        mean = rec.select("unique_id", *BY, "yhat").distinct()
         if method == "conformal":
             return I.conformal(h, made, rec, fitted, qs)
         if method == "bootstrap":
             if not r.linear and getattr(r, "nonnegative", False):
                 raise ValueError("Non-negative methods have no bootstrap intervals.")
             samples = I.bootstrap_samples(h, made, fcst, fitted, DRAWS, seed)
-            return rec.join(I.quantiles_of(samples, qs), ["unique_id", *BY])
+            return rec.join(I.quantiles_of(samples, qs, by), ["unique_id", *by])
         if not r.linear:
             raise ValueError(f"{r.name} has no intervals by {method}.")
         sigma = self._sigma(wide, models, id_col, time_col)
         if method == "permbu":
-            samples = I.permbu_samples(h, rec, sigma, fitted, DRAWS, seed)
-            return rec.join(I.quantiles_of(samples, qs), ["unique_id", *BY])
+            samples = I.permbu_samples(h, mean, sigma, fitted, DRAWS, seed)
+            return rec.join(I.quantiles_of(samples, qs, by), ["unique_id", *by])
         kind = KINDS.get(getattr(r, "method", ""))
         return I.normal_quantiles(I.normality(h, made, rec, sigma, fitted, kind), qs).drop("sigma")
 
     def _samples(self, made, h, wide, fcst, fitted, rec, models, method, n, seed, id_col, time_col) -> DataFrame:
-        mean = rec.select("unique_id", *BY, "yhat")
+        mean, by = rec.select("unique_id", *BY, "yhat").distinct(), [*BY, *I.seeded(seed)[1]]
         if method == "conformal":
             s = I.conformal_samples(h, made, mean, fitted, n, seed)
         elif method == "bootstrap":
@@ -232,16 +241,12 @@ class HierarchicalReconciliation:
         else:
             sigma = self._sigma(wide, models, id_col, time_col)
             s = I.permbu_samples(h, mean, sigma, fitted, n, seed) if method == "permbu" else made.sample(fcst, sigma, n, seed, KINDS.get(getattr(made.method, "method", "")))
-        packed = s.groupBy("unique_id", *BY).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "yhat"))), lambda x: x["yhat"]).alias("samples"))
-        return rec.join(packed, ["unique_id", *BY])
+        packed = s.groupBy("unique_id", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "yhat"))), lambda x: x["yhat"]).alias("samples"))
+        return rec.join(packed, ["unique_id", *by])
 
     def bootstrap_reconcile(self, Y_hat_df: DataFrame, hierarchy: Hierarchy, Y_df: DataFrame, num_seeds: int = 1, **more: object) -> DataFrame:
-        """``reconcile`` for the seeds 0, 1, ..., one after the other, with a column ``seed``."""
-        out = None
-        for seed in range(num_seeds):
-            one = self.reconcile(Y_hat_df, hierarchy, Y_df, seed=seed, **more).withColumn("seed", F.lit(seed))
-            out = one if out is None else out.unionByName(one)
-        return out
+        """``reconcile`` for the seeds 0, 1, ..., with a column ``seed``: fitted once, drawn together."""
+        return self.reconcile(Y_hat_df, hierarchy, Y_df, seeds=list(range(num_seeds)), **more)
 
 
 class CodeTimer:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_reconcile import BY, CROSS, TREE, H, T, dense, gls, map_of, shrunk, world
 from tallytree.operators import covariance as C
-from tallytree.operators import intervals, nonnegative
+from tallytree.operators import intervals, nonnegative, projection
 from tallytree.operators import reconcilers as K
 from tallytree.operators.lasso import row_lasso
 from tallytree.plans.reconciliation import HierarchicalReconciliation
@@ -251,3 +251,36 @@ def test_row_lasso_meets_its_conditions():
         pull = x @ left
         assert (np.abs(pull) <= strength + 1e-7).all() and len(beta) <= t
         assert all(abs(pull[j] - strength * np.sign(v)) < 1e-6 for j, v in beta.items())
+
+
+def test_many_seeds_in_one_plan(spark, tree):
+    """Every seed's columns equal those of a run with that seed alone."""
+    h, s, ids, y_hat, y, fit, fcst, fitted = tree
+    wide = fcst.select("unique_id", "ds", F.col("yhat").alias("m"), (F.col("yhat") - 3).alias("m-lo-80"), (F.col("yhat") + 3).alias("m-hi-80"))
+    past = fitted.select("unique_id", "ds", "y", F.col("yhat").alias("m"))
+    for method, r in (("bootstrap", K.MinTrace("ols")), ("permbu", K.BottomUp())):
+        more = {"level": [80], "intervals_method": method, "num_samples": 2}
+        every = HierarchicalReconciliation([r]).bootstrap_reconcile(wide, h, past, num_seeds=2, **more).toPandas()
+        assert len(every) == 2 * len(ids) * H and set(every.seed) == {0, 1}
+        one = HierarchicalReconciliation([r]).reconcile(wide, h, past, seed=1, **more).toPandas()
+        key = ["unique_id", "ds"]
+        got = every[every.seed == 1].drop(columns="seed").sort_values(key).reset_index(drop=True)
+        pd.testing.assert_frame_equal(got[one.columns.tolist()], one.sort_values(key).reset_index(drop=True))
+        assert method != "bootstrap" or not np.allclose(*(every[every.seed == k].sort_values(key)[f"m/{r.name}-sample-0"] for k in (0, 1)))
+
+
+def test_checks_of_errors_and_weights(spark, tree):
+    h, s, ids, y_hat, y, fit, fcst, fitted = tree
+    sigma = frame(spark, ids, np.ones((len(ids), H)), "sigma")
+    made = K.MinTrace("ols").fit(h, fcst, fitted)
+    with pytest.raises(ValueError, match="at least 2"):
+        intervals.normality(h, made, fcst, sigma, fitted.where("ds = 0"), "shrink")
+    few = fitted.where((F.col("unique_id") != ids[0]) | (F.col("ds") == 0))
+    with pytest.raises(ValueError, match="fewer than 2"):
+        intervals.normality(h, made, fcst, sigma, few, "full")
+    with pytest.raises(ValueError, match="Unknown covariance type"):
+        intervals.normality(h, made, fcst, sigma, fitted, "diagonal?")
+    with pytest.warns(UserWarning, match="positive definite"):
+        intervals.normality(h, made, fcst, sigma, fitted.where("ds < 4"), "full")
+    with pytest.raises(ValueError, match="not positive"):
+        projection.from_weights(h, h.nodes.select("unique_id", F.when(F.col("is_bottom"), 1.0).otherwise(0.0).alias("w")), ["m"])
