@@ -42,6 +42,13 @@ class Hierarchy:
         up = self.edges.select("parent_id", F.col("child_id").alias("unique_id"))
         return self.nodes.select("unique_id", "level_ord").join(up, "unique_id", "left")
 
+    @property
+    def places(self) -> DataFrame:
+        """(unique_id, place): places from 0 in level order, from the sizes of the levels."""
+        counts = {r.level_ord: r["count"] for r in self.nodes.groupBy("level_ord").count().collect()}  # a row for each level
+        starts = F.create_map(*(F.lit(v) for k in counts for v in (k, sum(c for o, c in counts.items() if o < k))))
+        return self.nodes.select("unique_id", (F.element_at(starts, F.col("level_ord")) + F.col("pos") - 1).cast("int").alias("place"))
+
     @cached_property
     def chain(self) -> Hierarchy:
         """The levels that form a tree down to the bottom series, taken from fine to coarse, as a hierarchy of their own."""

@@ -163,6 +163,11 @@ def residual_rows(fitted: DataFrame) -> DataFrame:
     return e.join(good.select("model", "ds", "ordinal"), ["model", "ds"]).select("model", "unique_id", "ordinal", "e")
 
 
+def ranks_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows (keys, an ordinal, e) with rank: from 0 by e, ties by the ordinal."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("e", order)) - 1)
+
+
 def drawn_starts(n_times: int, horizon: int, n: int, seed: int) -> list[int]:
     """Where n blocks of errors begin."""
     if n_times - horizon < 1:
@@ -251,7 +256,7 @@ def permbu_samples(h: Hierarchy, rec: DataFrame, sigma: DataFrame, fitted: DataF
     picks = [np.random.default_rng(x).choice(n_times, size=n, replace=n > n_times).tolist() for x in seeds]
     chosen = h.spark.range(1).select(_choices(picks, seeds)).select("_c.seed", "_c.sample_id", F.col("_c.choice").alias("ordinal"))
     ranks = res.join(F.broadcast(chosen), "ordinal")  # a row per seed and sample
-    ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("model", "unique_id", "seed").orderBy("e", "sample_id")) - 1).select("model", "unique_id", "seed", "sample_id", "rank")
+    ranks = ranks_of(ranks, ["model", "unique_id", "seed"], "sample_id").select("model", "unique_id", "seed", "sample_id", "rank")
     by = [*BY, "seed"]
     draws = independent_samples(rec.select("unique_id", *BY, "yhat").join(sigma, ["unique_id", *BY]), n, seeds)
     at = draws.join(h.nodes.select("unique_id", "level_ord"), "unique_id")

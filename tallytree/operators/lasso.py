@@ -64,7 +64,7 @@ def coefficients(h: Hierarchy, x: DataFrame, z: DataFrame, lam: float | None, n_
     x, z: (model, unique_id, x) and (model, unique_id, z), arrays of fitted forecasts and of what they should sum to. lam: the
     strength by cell of z; None: the largest slope at zero, which leaves no coefficients.
     """
-    at = places(h)
+    at = h.places
     n = at.count()
     if n * n_times > MOST_CELLS:
         raise ValueError(f"The lasso needs {n} x {n_times} fitted forecasts in every task; at most {MOST_CELLS} are allowed. Use another method.")
@@ -97,13 +97,6 @@ def coefficients(h: Hierarchy, x: DataFrame, z: DataFrame, lam: float | None, n_
     raise ValueError(f"The lasso has not converged in {rounds} rounds.")
 
 
-def places(h: Hierarchy) -> DataFrame:
-    """(unique_id, place): places from 0 in level order."""
-    counts = {r.level_ord: r["count"] for r in h.nodes.groupBy("level_ord").count().collect()}  # a row for each level
-    starts = F.create_map(*(F.lit(v) for k in counts for v in (k, sum(c for o, c in counts.items() if o < k))))
-    return h.nodes.select("unique_id", (F.element_at(starts, F.col("level_ord")) + F.col("pos") - 1).cast("int").alias("place"))
-
-
 def _slopes(h: Hierarchy, z: DataFrame, state: DataFrame, n_times: int) -> DataFrame:
     """(model, unique_id, s): for each bottom series the sum of what is left at the nodes that it is part of."""
     sums = lambda df, key, value: df.groupBy("model", F.col(key).alias("unique_id")).agg(*(F.sum(F.col("weight") * F.get(value, F.lit(t))).alias(f"_{t}") for t in range(n_times)))

@@ -58,7 +58,7 @@ def erm_lasso(h: Hierarchy, fcst: DataFrame, fitted: DataFrame, around_bottom_up
     good = complete(fitted, horizon)
     rows = settled(packed(good, SERIES, "ds", x=F.col("yhat").cast("double"), z=F.col("y").cast("double")), "insample")
     n_times = rows.select(F.max(F.size("x"))).first()[0]
-    at = settled(lasso.places(h), "places")
+    at = settled(h.places, "places")
     k = F.col("place").cast("long") - (n - b)  # places of the bottom series among themselves
     z = rows.select(*SERIES, "z")
     if around_bottom_up:

@@ -15,9 +15,7 @@ class HierarchicalPlot:
 
     def summing_matrix(self) -> DataFrame:
         """(row, column, weight) of the cells that are not zero, numbered in level order."""
-        from pyspark.sql import Window
-
-        order = self.h.nodes.withColumn("row", F.row_number().over(Window.orderBy("level_ord", "pos")))
+        order = self.h.places.withColumn("row", F.col("place") + 1)
         bottom = self.h.nodes.where("is_bottom").select(F.col("unique_id").alias("bottom_id"), F.col("pos").alias("column"))
         return self.h.summing.join(order.select("unique_id", "row"), "unique_id").join(bottom, "bottom_id").select("row", "column", "weight")
 

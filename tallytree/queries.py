@@ -86,6 +86,17 @@ bu AS (SELECT s.unique_id, f.ds, f.model, SUM(f.yhat) AS yhat FROM fc f JOIN sum
 bufit AS (SELECT s.unique_id, f.ds, f.model, SUM(f.yhat) AS yhat FROM fit f JOIN summing s ON s.bottom_id = f.unique_id GROUP BY 1, 2, 3)"""
 
 
+CROSSED = f"""{ORDERS}, keys AS (SELECT DISTINCT region, segment FROM rows_), times AS (SELECT DISTINCT ds FROM rows_),
+bottom AS (SELECT k.region, k.segment, t.ds, CAST(COALESCE(SUM(r.y), 0) AS BIGINT) AS y
+ FROM keys k CROSS JOIN times t LEFT JOIN rows_ r ON r.region = k.region AND r.segment = k.segment AND r.ds = t.ds GROUP BY 1, 2, 3),
+panel AS (SELECT 'total' AS unique_id, ds, CAST(SUM(y) AS BIGINT) AS y, 0 AS level_ord FROM bottom GROUP BY ds
+ UNION ALL SELECT 'total/' || region, ds, CAST(SUM(y) AS BIGINT), 1 FROM bottom GROUP BY region, ds
+ UNION ALL SELECT 'total/' || segment, ds, CAST(SUM(y) AS BIGINT), 2 FROM bottom GROUP BY segment, ds
+ UNION ALL SELECT 'total/' || region || '/' || segment, ds, y, 3 FROM bottom),
+summing AS (SELECT 'total' AS unique_id, 'total/' || region || '/' || segment AS bottom_id FROM keys
+ UNION ALL SELECT 'total/' || region, 'total/' || region || '/' || segment FROM keys
+ UNION ALL SELECT 'total/' || segment, 'total/' || region || '/' || segment FROM keys
+ UNION ALL SELECT 'total/' || region || '/' || segment, 'total/' || region || '/' || segment FROM keys)"""
 FGEO, FEVENTS = forecasts(GEO, 4), forecasts(EVENTS, 7)
 OUT = "SELECT unique_id, ds, model, round(yhat / 1000000.0 + 3.7e-9, 4) AS value FROM"
 
@@ -317,7 +328,13 @@ def mint_sparse_nonneg_clip_2lvl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(K.MinTraceSparse("ols", nonnegative=True, qp=False).mean(p.h, low, None, BY))
 
 
-@query()
+#: Two crossed keys of five values each, with every pair: effects of rows and columns are apart, so the system is three numbers and means.
+@query(f"""WITH {forecasts(CROSSED, 4)}, res AS (SELECT f.unique_id, f.level_ord, f.ds, f.model, f.yhat - b.yhat AS r FROM fc f JOIN bu b ON b.unique_id = f.unique_id AND b.ds = f.ds AND b.model = f.model WHERE f.level_ord < 3),
+m AS (SELECT ds, model, MAX(CASE WHEN level_ord = 0 THEN r END) AS rt, AVG(CASE WHEN level_ord = 1 THEN r END) AS mr, AVG(CASE WHEN level_ord = 2 THEN r END) AS ms FROM res GROUP BY 1, 2),
+l AS (SELECT ds, model, mr, ms, (rt - (5 * (mr + ms) - rt) / 2) / 50 AS a, ((5 * (mr + ms) - rt) / 50 + (mr - ms) / 5) / 2 AS lr, ((5 * (mr + ms) - rt) / 50 - (mr - ms) / 5) / 2 AS lc FROM m),
+lam AS (SELECT r.unique_id, r.ds, r.model, CASE r.level_ord WHEN 0 THEN a WHEN 1 THEN lr + (r - mr) / 10 ELSE lc + (r - ms) / 10 END AS lam, CASE r.level_ord WHEN 0 THEN 25 ELSE 5 END AS w FROM res r JOIN l ON l.ds = r.ds AND l.model = r.model)
+{OUT} (SELECT f.unique_id, f.ds, f.model, f.yhat - x.w * x.lam AS yhat FROM fc f JOIN lam x ON x.unique_id = f.unique_id AND x.ds = f.ds AND x.model = f.model
+ UNION ALL SELECT f.unique_id, f.ds, f.model, f.yhat + SUM(x.lam) FROM fc f JOIN summing s ON s.bottom_id = f.unique_id JOIN lam x ON x.unique_id = s.unique_id AND x.ds = f.ds AND x.model = f.model GROUP BY f.unique_id, f.ds, f.model, f.yhat)""")
 def mint_crossed_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_method(spark, sf_dir, K.MinTrace("wls_struct"), demo.crossed)
 
@@ -342,17 +359,61 @@ def erm_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_method(spark, sf_dir, K.ERM("closed"))
 
 
-@query()
+#: The default strength leaves no coefficients beside bottom-up's.
+@query(f"WITH {FEVENTS} {OUT} bu")
 def erm_reg_bu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_method(spark, sf_dir, K.ERM("reg_bu", lambda_reg=None), demo.events)
 
 
+@query(f"WITH {FGEO} {OUT} bu")
+def bottom_up_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_method(spark, sf_dir, K.BottomUpSparse())
+
+
+@query(f"{share_sql(OF_AVERAGES, '0')} {OUT} td")
+def top_down_sparse_prop_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_method(spark, sf_dir, K.TopDownSparse("proportion_averages"))
+
+
+@query(f"""{share_sql(AVERAGE, '1')}, m AS (SELECT 'total' AS unique_id, ds, model, SUM(yhat) AS yhat FROM fc WHERE level_ord = 1 GROUP BY 2, 3 UNION ALL SELECT unique_id, ds, model, yhat FROM fc WHERE level_ord = 1
+ UNION ALL SELECT t.unique_id, t.ds, t.model, t.yhat FROM td t JOIN nodes n ON n.unique_id = t.unique_id WHERE n.level_ord = 2) {OUT} m""")
+def middle_out_sparse_avg_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_method(spark, sf_dir, K.MiddleOutSparse("total/region", "average_proportions"))
+
+
+@query(tree_sql("SELECT DISTINCT model, unique_id, 1.0::DOUBLE AS w FROM fc"))
+def optimal_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_method(spark, sf_dir, K.OptimalCombination("ols"))
+
+
+#: A total far below its parts: the free ones among them are a prefix by what it takes to make them zero.
+@query(f"""WITH {FEVENTS}, w AS (SELECT model, unique_id, SUM(e * e) / COUNT(*) + 2e-8 AS w FROM err GROUP BY 1, 2),
+f AS (SELECT f.unique_id, f.ds, f.model, f.level_ord, GREATEST(f.yhat * CASE WHEN f.level_ord = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, 0) AS y, w.w FROM fc f JOIN w ON w.unique_id = f.unique_id AND w.model = f.model),
+c AS (SELECT *, -y / w AS t FROM f WHERE level_ord = 1),
+p AS (SELECT *, SUM(y) OVER o AS sy, SUM(w) OVER o AS sw, LEAD(t) OVER o AS nt FROM c WINDOW o AS (PARTITION BY ds, model ORDER BY t, unique_id)),
+l AS (SELECT p.ds, p.model, MAX((f.y - p.sy) / (f.w + p.sw)) AS l FROM p JOIN f ON f.ds = p.ds AND f.model = p.model AND f.level_ord = 0
+ WHERE p.t < (f.y - p.sy) / (f.w + p.sw) AND (p.nt IS NULL OR (f.y - p.sy) / (f.w + p.sw) <= p.nt) GROUP BY 1, 2),
+b AS (SELECT c.unique_id, c.ds, c.model, GREATEST(c.y + c.w * l.l, 0) AS yhat FROM c JOIN l ON l.ds = c.ds AND l.model = c.model)
+{OUT} (SELECT s.unique_id, b.ds, b.model, SUM(b.yhat) AS yhat FROM b JOIN summing s ON s.bottom_id = b.unique_id GROUP BY 1, 2, 3)""")
+def mint_nonneg_2lvl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = demo.events(spark, sf_dir)
+    low = p.fcst.withColumn("yhat", F.when(F.col("unique_id") == "total", F.col("yhat") * 0.3).otherwise(F.col("yhat")))
+    return result(K.MinTrace("wls_var", nonnegative=True).mean(p.h, low, p.fitted, BY))
+
+
+@query()
+def mint_nonneg_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = demo.geo(spark, sf_dir)
+    low = p.fcst.withColumn("yhat", F.when(F.col("unique_id") == "total", F.col("yhat") * 0.3).otherwise(F.col("yhat")))
+    return result(K.MinTrace("mint_shrink", nonnegative=True).mean(p.h, low, p.fitted, BY))
+
+
 # Covariances and intervals -------------------------------------------------------------------
 
 
 @query(f"WITH {FEVENTS}, c AS ({COV}) SELECT model, id1, id2, round(cov / 1e12, 4) AS cov FROM c WHERE id1 <= id2")
 def ma_cov_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.masked_covariance(C.errors(demo.events(spark, sf_dir).fitted)).withColumn("cov", F.round(F.col("cov") / 1e12, 4))
+    return C.masked_covariance(C.errors(demo.events(spark, sf_dir).fitted)).select("model", "id1", "id2", F.round(F.col("cov") / 1e12, 4).alias("cov"))
 
 
 @query(f"WITH {FEVENTS}, {LAM} SELECT model, round(lam, 6) AS lam FROM lam")
@@ -442,6 +503,60 @@ def permbu_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("unique_id", *BY, F.round(F.col("q")[0] / 1e6 + 3.7e-9, 4).alias("lo"), F.round(F.col("q")[1] / 1e6 + 3.7e-9, 4).alias("hi"))
 
 
+SHRUNK = f"""cov AS ({COV}), {LAM}, ww AS (SELECT c.model, c.id1, c.id2, CASE WHEN c.id1 = c.id2 THEN GREATEST(c.cov, 2e-8) ELSE (1 - l.lam) * c.cov END AS w FROM cov c JOIN lam l ON l.model = c.model),
+cr AS (SELECT a.model, a.id1, a.id2, CASE WHEN a.id1 = a.id2 THEN 1.0 ELSE a.w / sqrt(x.w * y.w) END AS r FROM ww a JOIN ww x ON x.model = a.model AND x.id1 = a.id1 AND x.id2 = a.id1 JOIN ww y ON y.model = a.model AND y.id1 = a.id2 AND y.id2 = a.id2)"""
+BANDS = f"round((yhat - {Z80} * sd) / 1000000.0 + 3.7e-9, 4) AS lo, round((yhat + {Z80} * sd) / 1000000.0 + 3.7e-9, 4) AS hi"
+
+
+def banded(p: demo.Panel, method: K.Method, correlation: str | None = None) -> DataFrame:
+    made = method.fit(p.h, p.fcst, p.fitted)
+    rec = I.normal_quantiles(I.normality(p.h, made, made.predict(p.fcst), sigmas(p), p.fitted, correlation), I.interval_quantiles([80]))
+    return rec.select("unique_id", *BY, F.round(F.col("q")[0] / 1e6 + 3.7e-9, 4).alias("lo"), F.round(F.col("q")[1] / 1e6 + 3.7e-9, 4).alias("hi"))
+
+
+@query(f"WITH {FEVENTS}, {SHRUNK} SELECT model, id1, id2, round(r, 6) AS r FROM cr WHERE id1 <= id2")
+def correlation_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.correlations(demo.events(spark, sf_dir).fitted, "shrink").select("model", "id1", "id2", F.round("r", 6).alias("r"))
+
+
+@query(f"""WITH {FEVENTS}, {SHRUNK}, {SIGMA}, u AS (SELECT unique_id, CASE WHEN level_ord = 0 THEN 1 ELSE -1 END AS u FROM nodes),
+wu AS (SELECT w.model, w.id1 AS unique_id, SUM(w.w * u.u) AS wu FROM ww w JOIN u ON u.unique_id = w.id2 GROUP BY 1, 2), k AS (SELECT wu.model, SUM(wu.wu * u.u) AS k FROM wu JOIN u ON u.unique_id = wu.unique_id GROUP BY 1),
+r AS (SELECT f.ds, f.model, SUM(f.yhat * u.u) AS r FROM fc f JOIN u ON u.unique_id = f.unique_id GROUP BY 1, 2),
+cu AS (SELECT a.unique_id, a.ds, a.model, SUM(c.r * a.sigma * b.sigma * u.u) AS cu FROM sg a JOIN cr c ON c.model = a.model AND c.id1 = a.unique_id JOIN sg b ON b.unique_id = c.id2 AND b.ds = a.ds AND b.model = a.model JOIN u ON u.unique_id = c.id2 GROUP BY 1, 2, 3),
+uu AS (SELECT cu.ds, cu.model, SUM(cu.cu * u.u) AS uu FROM cu JOIN u ON u.unique_id = cu.unique_id GROUP BY 1, 2),
+o AS (SELECT f.unique_id, f.ds, f.model, f.yhat - wu.wu / k.k * r.r AS yhat, sqrt(s.sigma * s.sigma - 2 * wu.wu / k.k * cu.cu + (wu.wu / k.k) ** 2 * uu.uu) AS sd FROM fc f JOIN wu ON wu.unique_id = f.unique_id AND wu.model = f.model JOIN k ON k.model = f.model
+ JOIN r ON r.ds = f.ds AND r.model = f.model JOIN sg s ON s.unique_id = f.unique_id AND s.ds = f.ds AND s.model = f.model JOIN cu ON cu.unique_id = f.unique_id AND cu.ds = f.ds AND cu.model = f.model JOIN uu ON uu.ds = f.ds AND uu.model = f.model)
+SELECT unique_id, ds, model, {BANDS} FROM o""")
+def normality_mint_shrink_2lvl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return banded(demo.events(spark, sf_dir), K.MinTrace("mint_shrink"), "shrink")
+
+
+@query(f"""WITH {FEVENTS}, {SIGMA}, n AS (SELECT COUNT(*) AS b FROM keys), r AS (SELECT f.ds, f.model, SUM(CASE WHEN f.level_ord = 0 THEN f.yhat ELSE -f.yhat END) AS r, SUM(s.sigma * s.sigma) AS v FROM fc f JOIN sg s ON s.unique_id = f.unique_id AND s.ds = f.ds AND s.model = f.model GROUP BY 1, 2),
+o AS (SELECT f.unique_id, f.ds, f.model, f.yhat - CASE WHEN f.level_ord = 0 THEN 1 ELSE -1 END * r.r / (n.b + 1) AS yhat, sqrt(s.sigma * s.sigma * (1 - 2.0::DOUBLE / (n.b + 1)) + r.v / ((n.b + 1) * (n.b + 1))) AS sd
+ FROM fc f JOIN sg s ON s.unique_id = f.unique_id AND s.ds = f.ds AND s.model = f.model JOIN r ON r.ds = f.ds AND r.model = f.model CROSS JOIN n)
+SELECT unique_id, ds, model, {BANDS} FROM o""")
+def normality_ols_2lvl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return banded(demo.events(spark, sf_dir), K.MinTrace("ols"))
+
+
+@query(f"""{share_sql(AVERAGE, '0')}, {SIGMA}, ts AS (SELECT s.unique_id, g.ds, g.model, SUM(sh.p) * g.sigma AS sd FROM sh JOIN summing s ON s.bottom_id = sh.bottom_id JOIN sg g ON g.unique_id = sh.root_id GROUP BY s.unique_id, g.ds, g.model, g.sigma)
+SELECT t.unique_id, t.ds, t.model, {BANDS} FROM td t JOIN ts ON ts.unique_id = t.unique_id AND ts.ds = t.ds AND ts.model = t.model""")
+def normality_top_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return banded(demo.geo(spark, sf_dir), K.TopDown("average_proportions"))
+
+
+@query()
+def normality_mint_shrink_3lvl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return banded(demo.geo(spark, sf_dir), K.MinTrace("mint_shrink"), "shrink")
+
+
+@query(f"""WITH {FGEO}, o AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS ordinal FROM (SELECT DISTINCT ds FROM err))
+SELECT model, unique_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(row_number() OVER (PARTITION BY model, unique_id ORDER BY e, ordinal) - 1 AS INTEGER) AS rank FROM err JOIN o USING (ds)""")
+def residual_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.residual_rows(demo.geo(spark, sf_dir).fitted)
+    return I.ranks_of(rows, ["model", "unique_id"], "ordinal").select("model", "unique_id", F.col("ordinal").cast("int").alias("ordinal"), F.col("rank").cast("int").alias("rank"))
+
+
 # Evaluation ----------------------------------------------------------------------------------
 
 
@@ -543,6 +658,38 @@ def wide_panel(p: demo.Panel) -> tuple[DataFrame, DataFrame]:
     return wide(p.fcst), wide(p.fitted, "y")
 
 
+WIDE_BANDS = ", ".join(f"""round(MAX(CASE WHEN model = '{m}' THEN {c} END) / 1000000.0 + 3.7e-9, 4) AS "{m}/BottomUp{n}\"""" for m in ("naive", "snaive") for c, n in (("yhat", ""), ("lo", "-lo-80"), ("hi", "-hi-80")))
+
+
+def in_millions(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, *(F.round(F.col(f"`{c}`") / 1e6 + 3.7e-9, 4).alias(c) for c in df.columns if "/" in c))
+
+
+@query(f"""WITH {FGEO}, {SCORES}, q AS (SELECT unique_id, model, quantile_cont(score, 0.1) AS a, quantile_cont(score, 0.9) AS b FROM sc GROUP BY 1, 2),
+o AS (SELECT u.unique_id, u.ds, u.model, u.yhat, u.yhat + q.a AS lo, u.yhat + q.b AS hi FROM bu u JOIN q ON q.unique_id = u.unique_id AND q.model = u.model)
+SELECT unique_id, ds, {WIDE_BANDS} FROM o GROUP BY 1, 2""")
+def wide_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = demo.geo(spark, sf_dir)
+    y_hat, y = wide_panel(p)
+    return in_millions(HierarchicalReconciliation([K.BottomUp()]).reconcile(y_hat, p.h, y, level=[80], intervals_method="conformal"), ["unique_id", "ds"])
+
+
+SEEDS = ", ".join(f"({x}, {k}, {s})" for x in (0, 1) for k, s in enumerate(I.drawn_starts(TIMES, 4, 200, x)))
+
+
+@query(f"""WITH {FGEO}, o AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS k FROM (SELECT DISTINCT ds FROM err)), hh AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS h FROM (SELECT DISTINCT ds FROM fc)),
+st AS (SELECT * FROM (VALUES {SEEDS}) v(seed, sample_id, st)),
+sm AS (SELECT f.unique_id, f.ds, f.model, st.seed, st.sample_id, f.yhat + e.e AS yhat FROM fc f JOIN hh ON hh.ds = f.ds CROSS JOIN st JOIN o ON o.k = st.st + hh.h JOIN err e ON e.ds = o.ds AND e.unique_id = f.unique_id AND e.model = f.model),
+rec AS (SELECT s.unique_id, m.ds, m.model, m.seed, m.sample_id, SUM(m.yhat) AS yhat FROM sm m JOIN summing s ON s.bottom_id = m.unique_id GROUP BY 1, 2, 3, 4, 5)
+SELECT unique_id, ds, model, CAST(seed AS INTEGER) AS seed, round(quantile_cont(yhat, 0.1) / 1000000.0 + 3.7e-9, 4) AS lo, round(quantile_cont(yhat, 0.9) / 1000000.0 + 3.7e-9, 4) AS hi FROM rec GROUP BY 1, 2, 3, 4""")
+def bootstrap_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = demo.geo(spark, sf_dir)
+    y_hat, y = wide_panel(p)
+    out = HierarchicalReconciliation([K.BottomUp()]).bootstrap_reconcile(y_hat, p.h, y, num_seeds=2, level=[80], intervals_method="bootstrap")
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"`{m}/BottomUp-lo-80`").alias("lo"), F.col(f"`{m}/BottomUp-hi-80`").alias("hi")) for m in ("naive", "snaive")))).alias("m")
+    return out.select("unique_id", "ds", "seed", models).select("unique_id", "ds", "m.model", "seed", million("m.lo").alias("lo"), million("m.hi").alias("hi"))
+
+
 @query()
 def reconcile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = demo.geo(spark, sf_dir)
