@@ -674,14 +674,14 @@ def wide_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_millions(HierarchicalReconciliation([K.BottomUp()]).reconcile(y_hat, p.h, y, level=[80], intervals_method="conformal"), ["unique_id", "ds"])
 
 
-SEEDS = ", ".join(f"({x}, {k}, {s})" for x in (0, 1) for k, s in enumerate(I.drawn_starts(TIMES, 4, 200, x)))
+def seed_sql(seed: int) -> str:
+    return f"""sm{seed} AS (SELECT f.unique_id, f.ds, f.model, st.sample_id, f.yhat + e.e AS yhat FROM fc f JOIN hh ON hh.ds = f.ds CROSS JOIN (VALUES {starts_sql(TIMES, 4, 200, seed)}) st(sample_id, st) JOIN o ON o.k = st.st + hh.h JOIN err e ON e.ds = o.ds AND e.unique_id = f.unique_id AND e.model = f.model),
+rec{seed} AS (SELECT s.unique_id, m.ds, m.model, m.sample_id, SUM(m.yhat) AS yhat FROM sm{seed} m JOIN summing s ON s.bottom_id = m.unique_id GROUP BY 1, 2, 3, 4),
+b{seed} AS (SELECT unique_id, ds, model, {seed} AS seed, round(quantile_cont(yhat, 0.1) / 1000000.0 + 3.7e-9, 4) AS lo, round(quantile_cont(yhat, 0.9) / 1000000.0 + 3.7e-9, 4) AS hi FROM rec{seed} GROUP BY 1, 2, 3)"""
 
 
 @query(f"""WITH {FGEO}, o AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS k FROM (SELECT DISTINCT ds FROM err)), hh AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS h FROM (SELECT DISTINCT ds FROM fc)),
-st AS (SELECT * FROM (VALUES {SEEDS}) v(seed, sample_id, st)),
-sm AS (SELECT f.unique_id, f.ds, f.model, st.seed, st.sample_id, f.yhat + e.e AS yhat FROM fc f JOIN hh ON hh.ds = f.ds CROSS JOIN st JOIN o ON o.k = st.st + hh.h JOIN err e ON e.ds = o.ds AND e.unique_id = f.unique_id AND e.model = f.model),
-rec AS (SELECT s.unique_id, m.ds, m.model, m.seed, m.sample_id, SUM(m.yhat) AS yhat FROM sm m JOIN summing s ON s.bottom_id = m.unique_id GROUP BY 1, 2, 3, 4, 5)
-SELECT unique_id, ds, model, CAST(seed AS INTEGER) AS seed, round(quantile_cont(yhat, 0.1) / 1000000.0 + 3.7e-9, 4) AS lo, round(quantile_cont(yhat, 0.9) / 1000000.0 + 3.7e-9, 4) AS hi FROM rec GROUP BY 1, 2, 3, 4""")
+{seed_sql(0)}, {seed_sql(1)} SELECT * FROM b0 UNION ALL SELECT * FROM b1""")
 def bootstrap_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = demo.geo(spark, sf_dir)
     y_hat, y = wide_panel(p)
