@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallytree.functions import metrics as M
-
 from tallytree.operators import aggregate as A
 from tallytree.operators import covariance as C
 from tallytree.operators import evaluate as E
 from tallytree.operators import intervals as I
-
 from tallytree.operators import reconcilers as K
 from tallytree.operators.reconcile import coherence_residual
 from tallytree.plans import demo
 from tallytree.plans.plots import HierarchicalPlot
 from tallytree.plans.reconciliation import HierarchicalReconciliation
+from tallytree.session import shared_folder
+from tallytree.sources import frames
 
 BY = ["ds", "model"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,6 +691,23 @@ def bootstrap_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("unique_id", "ds", "seed", models).select("unique_id", "ds", "m.model", "seed", million("m.lo").alias("lo"), million("m.hi").alias("hi"))
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers written as CSV to the shared folder and read again."""
+    rows = frames.read_parquet(spark, f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    path = f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    frames.write_csv(rows, path)
+    return frames.read_csv(spark, path, rows.schema)
+
+
+@query(ORACLES["tags_levels"])
+def saved_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of a hierarchy that was saved and loaded again."""
+    path = f"{shared_folder(spark)}/hierarchy-{uuid.uuid4().hex}"
+    frames.save_hierarchy(demo.geo(spark, sf_dir).h, path)
+    return frames.load_hierarchy(spark, path).nodes
+
+
 @query()
 def reconcile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = demo.geo(spark, sf_dir)
