@@ -23,7 +23,7 @@ def sketch(text: Column, fraction: float = FRACTION) -> Column:
     """Sorted hashes of the text's 5-word shingles (of all its words, if fewer) below the fraction.
 
     A short text may have none below it: its sketch is empty, so that the sketch of a union is
-    always the union of the sketches.
+    always the union of the sketches. What such sketches cannot tell, the texts' words do.
     """
     limit = F.lit(min(-(2**63) + int(2**64 * fraction), 2**63 - 1))
     w = words(text)
@@ -37,15 +37,17 @@ def shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; two empty sketches are alike."""
+def likeness(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
+    """Estimated Jaccard similarity; two empty sketches are alike if their texts' words are the same, and else not."""
     both = shared(a, b)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
+    same = F.when(words(text_a) == words(text_b), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), same).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(shared(a, b) / F.greatest(F.size(a), F.lit(1)))
+def containment(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
+    """Estimated share of a's shingles that b holds; where a's sketch is empty, 1 for a text without words or with b's words, and else 0."""
+    none = F.when((F.size(words(text_a)) == 0) | (words(text_a) == words(text_b)), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.size(a) == 0, none).otherwise(shared(a, b) / F.greatest(F.size(a), F.lit(1)))
 
 
 def written(a: Column) -> Column:
@@ -100,14 +102,15 @@ def fingerprinted(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     found = with_next(plain, fraction).withColumn("n_chars", F.length("_text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("_text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("_next_text", F.lit(1), quarter))
-    found = found.withColumn("edited_text", edited).drop("_next_text")
+    found = found.withColumn("edited_text", edited)
     found = found.withColumn("_edited_sketch", sketch(F.col("edited_text"), fraction))
     own, new, after = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next_sketch")
+    edit, following = (new, F.col("_text"), F.col("edited_text")), (after, F.col("_text"), F.col("_next_text"))
     return found.select(
         F.expr(f"nullif(_id, {LAST}L)").alias("doc_id"), "n_chars", "edited_text",
         written(own).alias("fingerprint"), written(new).alias("edited_fingerprint"),
-        likeness(own, new).alias("near_edited"), likeness(own, after).alias("near_next"),
-        containment(own, new).alias("contained_in_edited"), containment(own, after).alias("contained_in_next"),
+        likeness(own, *edit).alias("near_edited"), likeness(own, *following).alias("near_next"),
+        containment(own, *edit).alias("contained_in_edited"), containment(own, *following).alias("contained_in_next"),
     )
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallytree.llm.common import documents, stored
+from tallytree.llm.common import documents, put_back, set_aside, stored
 from tallytree.llm.components import components
 from tallytree.llm.hashing import mixed, shingle_sets, slices, word_hashes
 
@@ -292,9 +292,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that come first in their group, with all their columns."""
-    first = near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    """One document of each group, with all its columns: the one with the smallest id, a null id being the largest.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, count one by one. Of
+    rows with one id any may stay. Documents without words are in no group, and stay.
+    """
+    numbered = stored(set_aside(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return put_back(numbered.join(first.select("_row"), "_row", "left_semi"), docs.columns, ("doc_id", "text"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
