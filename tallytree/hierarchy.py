@@ -42,6 +42,11 @@ class Hierarchy:
         up = self.edges.select("parent_id", F.col("child_id").alias("unique_id"))
         return self.nodes.select("unique_id", "level_ord").join(up, "unique_id", "left")
 
+    def top(self) -> str:
+        """The series that sums most; of several the first by id."""
+        sums = self.summing.groupBy("unique_id").agg(F.sum("weight").alias("n"))
+        return sums.agg(F.min(F.struct((-F.col("n")).alias("n"), "unique_id"))["unique_id"]).first()[0]
+
     @property
     def places(self) -> DataFrame:
         """(unique_id, place): places from 0 in level order, from the sizes of the levels."""

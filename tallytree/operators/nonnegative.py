@@ -42,10 +42,11 @@ def least_squares(h: Hierarchy, weighted: DataFrame, by: list[str], factor: Data
     scale = y.groupBy(*by).agg((F.max("y") * TOLERANCE).alias("tx"), (F.max(F.col("y") / F.col("w")) * len(h.levels) * TOLERANCE).alias("ts"), F.lit(1 << 62).alias("fewest"), F.lit(PATIENCE).alias("patience"))
     progress = settled(scale, "progress")
     n_by = progress.count()
+    times = 0 if factor is None else y.select(F.max(F.size("f"))).first()[0] or 0
     bottom = h.nodes.where("is_bottom").select("unique_id", "pos")
     held = None
     for _ in range(rounds):
-        x = _round(h, y, held, by, n_by)
+        x = _round(h, y, held, by, n_by * times)
         told = x.join(bottom, "unique_id")
         told = with_few(told, progress, by, n_by)
         wrong = F.when(F.col("held"), F.col("slope") < -F.col("ts")).otherwise(F.col("x") < -F.col("tx"))
@@ -66,7 +67,7 @@ def least_squares(h: Hierarchy, weighted: DataFrame, by: list[str], factor: Data
     raise ValueError(f"Non-negative values were not found in {rounds} rounds; the weights may be ill-conditioned.")
 
 
-def _round(h: Hierarchy, y: DataFrame, held: DataFrame | None, by: list[str], n_by: int) -> DataFrame:
+def _round(h: Hierarchy, y: DataFrame, held: DataFrame | None, by: list[str], n_cells: int) -> DataFrame:
     """unique_id, by, x, slope, held of the bottom series, where the held ones are zero."""
     key = ["unique_id", *by]
     rows = y.withColumn("held", F.lit(False)) if held is None else y.join(held.withColumn("_h", F.lit(True)), key, "left").withColumn("held", F.col("_h").isNotNull()).drop("_h")
@@ -84,7 +85,7 @@ def _round(h: Hierarchy, y: DataFrame, held: DataFrame | None, by: list[str], n_
         name = F.to_json(F.struct(*by))
         cells = gram(both.withColumn("_by", name), "_by", F.transform("g", lambda v: v / F.col("w")), F.concat("g", F.array(F.col("y") - F.col("x"))))
         z = settled(cells.groupBy("_by").applyInPandas(_solution, "_by string, z array<double>"), "systems")
-        both = with_few(both.withColumn("_by", name), z, ["_by"], n_by * 1000).withColumn("x", F.col("x") - dot("c", "z"))
+        both = with_few(both.withColumn("_by", name), z, ["_by"], n_cells).withColumn("x", F.col("x") - dot("c", "z"))
         pull = (F.col("x") - F.col("y") + dot("f", "z")) / F.col("w")
     both = settled(both.select(*key, "x", "held", pull.alias("pull")), "values")
     slope = h.summing.join(both.select(*key, "pull"), "unique_id").groupBy(F.col("bottom_id").alias("unique_id"), *by).agg(F.sum(F.col("weight") * F.col("pull")).alias("slope"))

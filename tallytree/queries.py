@@ -165,6 +165,13 @@ def tags_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.hierarchy_of(demo.order_rows(spark, sf_dir), demo.GEO).nodes
 
 
+@query(f"""WITH {GEO}, n AS (SELECT unique_id, COUNT(*) AS n FROM summing GROUP BY 1), t AS (SELECT unique_id FROM n ORDER BY n DESC, unique_id LIMIT 1) SELECT p.ds, p.y FROM panel p JOIN t ON t.unique_id = p.unique_id""")
+def top_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the series that sums most."""
+    panel, h = A.aggregate(demo.dense(demo.order_rows(spark, sf_dir), demo.GEO[-1]), demo.GEO, check=False)
+    return panel.where(F.col("unique_id") == h.top()).select("ds", "y")
+
+
 @query(f"WITH {GEO} SELECT parent_id, child_id FROM edges")
 def hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.hierarchy_of(demo.order_rows(spark, sf_dir), demo.GEO).edges
@@ -465,6 +472,20 @@ def bootstrap_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("unique_id", *BY, F.round(F.col("q")[0] / 1e6 + 3.7e-9, 4).alias("lo"), F.round(F.col("q")[1] / 1e6 + 3.7e-9, 4).alias("hi"))
 
 
+@query(f"""WITH {FGEO}, o AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS k FROM (SELECT DISTINCT ds FROM err)), hh AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS h FROM (SELECT DISTINCT ds FROM fc)),
+st AS (SELECT * FROM (VALUES {starts_sql(TIMES, 4, 50, 0)}) v(sample_id, st)),
+sm AS (SELECT f.unique_id, f.ds, f.model, st.sample_id, f.level_ord, f.yhat + e.e AS yhat FROM fc f JOIN hh ON hh.ds = f.ds CROSS JOIN st JOIN o ON o.k = st.st + hh.h JOIN err e ON e.ds = o.ds AND e.unique_id = f.unique_id AND e.model = f.model),
+c AS (SELECT e.parent_id, m.*, m.yhat / SUM(m.yhat) OVER (PARTITION BY e.parent_id, m.ds, m.model, m.sample_id) AS share FROM sm m JOIN edges e ON e.child_id = m.unique_id),
+r0 AS (SELECT unique_id, ds, model, sample_id, yhat FROM sm WHERE level_ord = 0),
+r1 AS (SELECT c.unique_id, c.ds, c.model, c.sample_id, c.share * r.yhat AS yhat FROM c JOIN r0 r ON r.unique_id = c.parent_id AND r.ds = c.ds AND r.model = c.model AND r.sample_id = c.sample_id WHERE c.level_ord = 1),
+r2 AS (SELECT c.unique_id, c.ds, c.model, c.sample_id, c.share * r.yhat AS yhat FROM c JOIN r1 r ON r.unique_id = c.parent_id AND r.ds = c.ds AND r.model = c.model AND r.sample_id = c.sample_id WHERE c.level_ord = 2)
+SELECT unique_id, ds, model, round(quantile_cont(yhat, 0.1) / 1000000.0 + 3.7e-9, 4) AS lo, round(quantile_cont(yhat, 0.9) / 1000000.0 + 3.7e-9, 4) AS hi FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2, 3""")
+def bootstrap_top_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = demo.geo(spark, sf_dir)
+    q = I.quantiles_of(I.bootstrap_samples(p.h, K.TopDown("forecast_proportions"), p.fcst, p.fitted, 50, 0), [0.1, 0.9])
+    return q.select("unique_id", *BY, F.round(F.col("q")[0] / 1e6 + 3.7e-9, 4).alias("lo"), F.round(F.col("q")[1] / 1e6 + 3.7e-9, 4).alias("hi"))
+
+
 SCORES = "sc AS (SELECT f.unique_id, f.model, f.ds, f.y - b.yhat AS score FROM fit f JOIN bufit b ON b.unique_id = f.unique_id AND b.ds = f.ds AND b.model = f.model)"
 
 
