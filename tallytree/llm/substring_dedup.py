@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallytree.llm.common import documents
+from tallytree.functions.ordering import ranked
+from tallytree.llm.common import documents, stored
 from tallytree.llm.hashing import doubled, mixed, slices, window_hashes, word_hashes
 
 WINDOW = 20
@@ -128,23 +129,28 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are split at ASCII white space and compared as they are. A word goes if some window
     over it also starts earlier in the input: in a smaller doc_id, or sooner in its document.
-    A null text has no words; a null id counts as larger than all others. Rows that repeat an
-    id and its text get the same result; if an id has several texts, the one with the least
-    md5 is compared and the others are left as they are. Other columns are ignored; an empty
-    table gives no rows.
+    A null text has no words; a null id counts as larger than all others. Rows that share an id, or
+    have none, are documents of their own, in the order of their texts' md5; of equal rows the first
+    keeps what the others lose. Other columns are ignored; an empty table gives no rows.
     """
-    # Of several documents with one text only the first has windows of its own.
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.col("text").alias("_text"))
+    if plain.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return _without_repeats(plain, window).withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))
+    # Ranks stand for ids where these are not a row's own.
+    placed = ranked(plain.withColumns({"_all": F.lit(0), "_md5": F.md5(F.coalesce("_text", F.lit("")))}), ["_all"], ["_id", "_md5"], stored)
+    done = _without_repeats(placed.select(F.col("rank").alias("_id"), "_text"), window).withColumnRenamed("doc_id", "rank")
+    own = placed.select("rank", F.expr(f"nullif(_id, {LAST}L)").alias("doc_id"))
+    return own.join(done, "rank").select("doc_id", "n_words", "n_removed", "kept_text")
+
+
+def _without_repeats(plain: DataFrame, window: int) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text of plain (_id, _text), whose ids differ."""
+    # Of several documents with one text only the first has windows of its own.
     told = plain.select("_id", F.md5(F.coalesce("_text", F.lit(""))).alias("_md5"))
-    one = told.groupBy("_id").agg(F.min("_md5").alias("_md5"), F.max("_md5").alias("_other"), F.count(F.lit(1)).alias("_rows"))
-    first = one.groupBy("_md5").agg(F.min("_id").alias("_first"))
-    roles = one.join(first, "_md5").where("_first < _id OR _rows > 1")
-    roles = roles.select("_id", (F.col("_first") < F.col("_id")).alias("_copy"), F.when(F.col("_other") > F.col("_md5"), F.col("_md5")).alias("_only"), F.col("_rows"))
+    first = told.groupBy("_md5").agg(F.min("_id").alias("_first"))
+    roles = told.join(first, "_md5").where("_first < _id").select("_id", F.lit(True).alias("_copy"))
     whole = plain.join(roles.hint("shuffle_hash"), "_id", "left")
-    lone = whole.where("_rows IS NULL OR (NOT _copy AND _rows = 1)").select("_id", "_text")
-    several = whole.where("NOT _copy AND _rows > 1 AND (_only IS NULL OR md5(coalesce(_text, '')) = _only)")
-    several = several.groupBy("_id").agg(F.first("_text").alias("_text"))
-    found = repeated_starts(lone.union(several), window)
+    found = repeated_starts(whole.where("_copy IS NULL").select("_id", "_text"), window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,10 +172,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(list(map(len, words)), pa.int64()), pa.array(removed, pa.int64()), kept], names=["_id", "n_words", "n_removed", "kept_text"])
 
     whole = whole.join(found.hint("shuffle_hash"), "_id", "left")
-    other = "_only IS NOT NULL AND md5(coalesce(_text, '')) <> _only"
-    whole = whole.select("_id", "_text", F.expr(f"_copy AND NOT coalesce({other}, false)").alias("_copy"), F.expr(f"CASE WHEN {other} THEN NULL ELSE _found END").alias("_found"))
-    done = whole.mapInArrow(cut, "_id long, n_words long, n_removed long, kept_text string")
-    return done.select(F.expr(f"nullif(_id, {LAST}L)").alias("doc_id"), "n_words", "n_removed", "kept_text")
+    done = whole.select("_id", "_text", "_copy", "_found").mapInArrow(cut, "_id long, n_words long, n_removed long, kept_text string")
+    return done.withColumnRenamed("_id", "doc_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
-from tallytree.llm import fingerprints, jaccard_join, personal_data
+from tallytree.llm import fingerprints, jaccard_join, personal_data, substring_dedup
 
 A, B, C = ("one two three four five six", "seven eight nine ten eleven", "red green blue black white grey")
 
@@ -129,3 +129,12 @@ def test_base_spans_of_adversarial_strings(spark, tmp_path):
         assert r.base_sha256 == sha256(",".join(want).encode()).hexdigest(), text
         assert set(want) <= set((r.spans or "").split(","))
     assert spans_seen > 2000
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    """Of rows with one id, or none, only the first keeps a passage; their own words stay."""
+    said = " ".join(f"p{k}" for k in range(40))
+    rows = [(1, said), (1, said), (2, said), (None, said), (None, said), (None, f"before {said} after"), (3, None), (3, "")]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(1, 40, 0), (1, 40, 40), (2, 40, 40), (None, 40, 40), (None, 40, 40), (None, 42, 40), (3, 0, 0), (3, 0, 0)])
+    assert {r.kept_text for r in got if r.n_words == 42} == {"before after"}
