@@ -1,8 +1,8 @@
 """Toxicity of texts after noisy-channel restoration of disguised words.
 
-Disguised words (leetspeak, separators between letters, repeated letters) become lattices:
-every character may stand for itself or for a letter it imitates, a separator or a repeated
-letter may be dropped. The cheapest path under a character language model (Viterbi, states
+Words that may be disguised (any character that imitates a letter or separates letters, any
+letter twice in a row) become lattices: every character may stand for itself or for a letter it
+imitates, a separator or a repeated character may be dropped. Runs of single characters are one word. The cheapest path under a character language model (Viterbi, states
 are the last three symbols) is the restored word. The language model is interpolated 4-grams
 over 32 symbol classes, counted over all training texts. Plain words are their only path.
 
@@ -36,8 +36,9 @@ BEGINNINGS = (4, 5, 6)
 TOP = 3
 #: Word scores below this count as nothing.
 LEAST = 0.5
-#: Cost, as a log-probability, of a character that imitates a letter, and of one that is dropped.
-IMITATES, DROPS, KEEPS_ODD = -1.0, -0.7, -2.5
+#: Cost, as a log-probability, of a character that imitates a letter, of a separator that is dropped, of a character
+#: that is no letter and stays, of a character that is dropped since it comes twice, and since it comes once more.
+IMITATES, DROPS, KEEPS_ODD, DOUBLED, AGAIN = -1.0, -0.7, -2.5, -2.0, -0.2
 
 SPACE, OTHER, HIGH = 26, 27, 28
 CLASS = np.full(256, OTHER, np.uint8)
@@ -49,8 +50,10 @@ CLASS[128:] = HIGH + (np.arange(128) & 3)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 SEPARATORS = ".-_*~'/\\,:"
 EDGES = ".,;:!?\"'()[]{}«»“”„¿¡…"
-#: A word may be disguised if a letter meets an imitation or a separator inside, or a letter comes three times.
-ODD = re.compile(r"[^\W\d_][0-9@$!|+(€*.\-_~'/\\,:]+[^\W_]|^[0-9@$!|+(€*]+[^\W\d_]|[^\W\d_][0-9@$!|+(€*]+$|([^\W\d_])\1\1")
+#: Every word that has one of these characters, or any letter twice in a row, is decoded.
+ODD = re.compile(rf"[{re.escape(''.join(LEET) + SEPARATORS)}]|([^\W\d_])\1")
+TWICE = re.compile(r"(.)\1", re.DOTALL)
+CLASSES = CLASS.tobytes()
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -90,42 +93,88 @@ class Restorer:
     """Restores disguised words under a character model."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.astype(np.float64)
-        self.word = lru_cache(100_000)(self._word)
+        # A list is read much faster than an array, one number at a time; its size is fixed.
+        self.model = model.astype(np.float64).ravel().tolist()
+        self.word = lru_cache(100_000)(self._restored)
+        self.classes = lru_cache(10_000)(self._classes)
 
     @staticmethod
-    def classes(text: str) -> tuple[int, ...]:
+    def _classes(text: str) -> tuple[int, ...]:
         return tuple(int(CLASS[b]) for b in text.encode("utf-8", "replace"))
 
+    @staticmethod
+    def _ways(c: str, repeats: int) -> list[tuple[str, float]]:
+        """What a character may stand for; ``repeats``: how many equal ones come right before it."""
+        if c.isalpha():
+            ways = [(c, 0.0)]
+        else:
+            ways = [(c, KEEPS_ODD), *((to, IMITATES) for to in LEET.get(c, ""))]
+            if c in SEPARATORS or c.isspace():
+                ways.append(("", DROPS))
+                if c.isspace():
+                    ways.append((" ", 0.0))
+        if repeats and (c.isalpha() or c in LEET):
+            ways.append(("", DOUBLED if repeats == 1 else AGAIN))
+        return ways
+
+    def _restored(self, disguised: str) -> str:
+        apart = self._apart(disguised) if disguised.isalpha() else None
+        return self._word(disguised) if apart is None else apart
+
+    def _apart(self, word: str) -> str | None:
+        """The cheapest path of a word of letters whose doubled letters lie three places apart or more.
+
+        No symbol's cost then depends on two of them, so each is decided by itself, with the result of
+        the whole search. None for other words.
+        """
+        at = [m.start() + 1 for m in TWICE.finditer(word)]
+        if any(not word[p].isascii() or word[p + 1 : p + 2] == word[p] for p in at):
+            return None
+        gone, raw, model = [], word.encode("utf-8", "replace"), self.model
+        places = at if len(raw) == len(word) else [len(word[:p].encode("utf-8", "replace")) for p in at]
+        if any(q - p < 3 for p, q in zip(places, places[1:], strict=False)):
+            return None
+        k = [SPACE, SPACE, SPACE, *raw.translate(CLASSES), SPACE]
+        for p, place in zip(at, places, strict=True):
+            a, b, c, d, e = k[place : place + 5]  # d is the letter that comes again, c the one before it
+            keeps = model[((a << 5 | b) << 5 | c) << 5 | d] + model[((b << 5 | c) << 5 | d) << 5 | e]
+            drops = DOUBLED + model[((a << 5 | b) << 5 | c) << 5 | e]
+            if place + 5 < len(k):
+                keeps += model[((c << 5 | d) << 5 | e) << 5 | k[place + 5]]
+                drops += model[((b << 5 | c) << 5 | e) << 5 | k[place + 5]]
+            if drops > keeps:
+                gone.append(p)
+        return "".join(x for i, x in enumerate(word) if i not in gone) if gone else word
+
     def _word(self, disguised: str) -> str:
-        """The cheapest path through the lattice of a lower-cased word, by Viterbi search."""
-        states: dict[tuple[int, int, int], tuple[float, str]] = {(SPACE, SPACE, SPACE): (0.0, "")}
-        last = ""
+        """The cheapest path through the lattice of a lower-cased word, by Viterbi search.
+
+        A state is the last three classes as one number; each has its cost and its path as a chain, so
+        that a step's work does not depend on how much was read.
+        """
+        model, lowest = self.model, (1 << 15) - 1
+        states: dict[int, tuple[float, tuple]] = {SPACE << 10 | SPACE << 5 | SPACE: (0.0, ())}
+        last, repeats = "", 0
         for c in disguised:
-            ways: list[tuple[str, float]] = []
-            if c.isalpha():
-                ways.append((c, 0.0))
-                if c == last:
-                    ways.append(("", DROPS / 4))
-            else:
-                ways.append((c, KEEPS_ODD))
-                ways += [(to, IMITATES) for to in LEET.get(c, "")]
-                if c in SEPARATORS or c.isspace():
-                    ways.append(("", DROPS))
-                    if c.isspace():
-                        ways.append((" ", 0.0))
-            new: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for state, (cost, out) in states.items():
-                for to, price in ways:
+            repeats = repeats + 1 if c == last else 0
+            ways = [(to, self.classes(to), price) for to, price in self._ways(c, repeats)]
+            new: dict[int, tuple[float, tuple]] = {}
+            for state, (cost, path) in states.items():
+                for to, classes, price in ways:
                     at, total = state, cost + price
-                    for k in self.classes(to):
-                        total += float(self.model[at[0], at[1], at[2], k])
-                        at = (at[1], at[2], k)
+                    for k in classes:
+                        at = at << 5 | k
+                        total += model[at]
+                        at &= lowest
                     if at not in new or total > new[at][0]:
-                        new[at] = (total, out + to)
+                        new[at] = (total, (path, to) if to else path)
             states, last = new, c
-        end = [(cost + float(self.model[s[0], s[1], s[2], SPACE]), out) for s, (cost, out) in states.items()]
-        return max(end)[1]
+        _, path = max(((cost + model[at << 5 | SPACE], path) for at, (cost, path) in states.items()), key=lambda x: x[0])
+        out = []
+        while path:
+            path, to = path
+            out.append(to)
+        return "".join(reversed(out))
 
 
 def _features(words: list[str]) -> np.ndarray:
@@ -160,11 +209,11 @@ class Words:
         clean = []
         for w in new:
             w = w.strip(EDGES) or w
-            clean.append(self.restorer.word(w).strip(EDGES) if not w.isalpha() and ODD.search(w) or w.isalpha() and _thrice(w) else w)
+            clean.append(self.restorer.word(w).strip(EDGES) if ODD.search(w) else w)
         self.cells[n:room] = _features(clean)
         if self.odds is not None:
             self.score[n:room] = self.odds[self.cells[n:room]].max(axis=1, initial=0.0)
-        self.single[n:room] = [len(w) == 1 for w in new]
+        self.single[n:room] = [len(w.strip(EDGES) or w) == 1 for w in new]
         self.index.update(zip(new, range(n, room), strict=True))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +231,7 @@ class Words:
             while single[b] and of[b] == of[a]:
                 b += 1
             if b - a >= 3:
-                restored = self.restorer.word(" ".join(parts[a:b])).split()
+                restored = self.restorer.word(" ".join(p.strip(EDGES) or p for p in parts[a:b])).split()
                 more += restored
                 more_of += [of[a]] * len(restored)
         if more:
@@ -204,10 +253,6 @@ class Words:
         return at
 
 
-def _thrice(w: str) -> bool:
-    return any(a == b == c for a, b, c in zip(w, w[1:], w[2:], strict=False))
-
-
 def _words_of(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, word) pairs of a run of rows; where words have scores, of those with LEAST or more."""
     at, of = words.texts(texts.cast(pa.large_string()).to_pylist())

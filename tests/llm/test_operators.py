@@ -100,13 +100,13 @@ def test_substring_dedup(docs, empty):
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(3)
     said = lambda: " ".join("".join(rng.choice(list("aeiou"), 2)) + "".join(rng.choice(list("nrst"), 2)) for _ in range(20))
-    bad = ["moron", "stupid", "loser"]
+    bad = ["moron", "stupid", "loser", "ass", "slot"]
     rows, labels = [], []
     for k in range(400):
         toxic = k % 4 == 0
-        rows.append((k, said() + (" " + bad[k % 3] + " moron" if toxic else "")))
+        rows.append((k, said() + (" " + bad[k // 4 % 5] if toxic else "")))
         labels.append((k, 1, int(toxic)))
-    disguised = {1000: "m0r0n", 1001: "st.u.p.i.d", 1002: "l o s e r", 1003: "mooooron"}
+    disguised = {1000: "m0r0n", 1001: "st.u.p.i.d", 1002: "l o s e r", 1003: "mooooron", 2000: "stuupid", 2001: "mmoorroonn", 2002: "455", 2003: "$1077", 2004: "l. o. s. e. r.", 2005: "5tup1d!", 2006: "m-o-r-o-n"}
     rows += [(k, said() + " " + w) for k, w in disguised.items()] + [(1004, None), (1005, ""), (1006, said())]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([*labels, labels[0], (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
@@ -115,11 +115,29 @@ def test_toxicity(spark, empty):
     right = [got[k].predicted == int(k % 4 == 0) for k in range(400) if got[k].held_out]
     assert np.mean(right) > 0.95 and len(got) == len(rows)
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k in range(400))
-    assert all(got[k].predicted == 1 for k in disguised) and got[1004].predicted == got[1005].predicted == got[1006].predicted == 0
+    assert {w: got[k].score for k, w in disguised.items() if got[k].predicted != 1} == {}
+    assert got[1004].predicted == got[1005].predicted == got[1006].predicted == 0
     assert toxicity.scored(empty, marks, F.lit(False)).count() == 0
     assert toxicity.scored(docs, marks.where("toxic = 0"), held).where("score >= 0.5").count() == 0
 
 
+def test_doubled_letters_apart_are_decided_as_by_the_whole_search():
+    rng = np.random.default_rng(8)
+    said = b"   ".join("".join(rng.choice(list("aeinrst"), rng.integers(2, 9))).encode() for _ in range(3000))
+    c = toxicity.CLASS[np.frombuffer(b"   " + said + b" ", np.uint8)].astype(np.int32)
+    counts = np.bincount(c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:], minlength=toxicity.CELLS).astype(float)
+    restorer, n, changed = toxicity.Restorer(toxicity.character_model(counts)), 0, 0
+    for _ in range(5000):
+        w = "".join(rng.choice(list("aeinrstzé"), rng.integers(1, 12)))
+        apart = restorer._apart(w)
+        if apart is not None:
+            assert apart == restorer._word(w), w
+            n, changed = n + 1, changed + (apart != w)
+    assert n > 3000 and changed > 100
+    long = "a1" * 50_000
+    assert len(restorer.word(long)) >= 50_000 and restorer.word("") == ""
+
+
 def test_personal_data(spark, empty):
     t = "mail é bob@site.org or +49 (30) 123-4567, card 4111 1111 1111 1111, ip 10.0.0.300 and 10.0.0.7. IBAN account DE89370400440532013000"
     docs = spark.createDataFrame([(1, t, "x"), (2, None, "x"), (3, "", "x"), (4, "4111111111111112", "x")], "doc_id long, text string, _m_email string")
