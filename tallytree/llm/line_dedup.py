@@ -9,13 +9,13 @@ the overlap. What is left is verified on the whole sets.
 
 Equal lines are one line from the start. A great many near copies of one line must not make
 all their pairs, so lines that have two of a few picked words in common first meet the
-earliest of these lines only. Whoever matches there needs no further partner; the join then
+``HEADS`` earliest of these lines only. Whoever matches there needs no further partner; the join then
 looks for partners of the rest, among all lines. No match is missed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallytree.llm.common import bit_table, cell, documents, level_of, level_table, line_words, may_hold, put_back, set_aside, stored
@@ -26,6 +26,8 @@ LOW = (1 << 56) - 1
 LAST = 2**63 - 1
 #: Lines of more words have parities of 128 cells.
 SHORT = 40
+#: Earliest lines of a key that the others meet first. One edited copy may be too far from the very earliest, but seldom from all of these.
+HEADS = 8
 
 
 def _lines(text: Column) -> Column:
@@ -111,7 +113,7 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
 
 
 def first_look(lines: DataFrame) -> DataFrame:
-    """Pairs of a line and the earliest line that shares two of its three picked words.
+    """Pairs of a line and each of the ``HEADS`` earliest lines that share two of its three picked words.
 
     Picked are the least hashes of the rare words that come more than EXACT times, as those of
     many near copies do. Only keys of two words or more lines go on, so little is shuffled twice.
@@ -122,8 +124,9 @@ def first_look(lines: DataFrame) -> DataFrame:
     rows = rows.select("lh", "d", "k", "k2", "ni", F.explode(F.array(*two)).alias("key")).where("key IS NOT NULL")
     again = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "again")
     rows = rows.where(may_hold(bit_table(again.select(F.col("key").alias("h"))), F.col("key"))).join(again, "key")
-    heads = rows.groupBy("key").agg(F.min(F.struct("d", "lh", "k", "k2", "ni")).alias("s")).select("key", "s.lh", "s.k", "s.k2", "s.ni")
-    return _pairs(rows.alias("y").join(heads.alias("x"), (F.col("x.key") == F.col("y.key")) & F.expr(SIMILAR)))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("d", "lh"))
+    heads = rows.withColumn("nth", nth).where(F.col("nth") <= HEADS).drop("nth")
+    return _pairs(rows.alias("y").join(heads.alias("x"), (F.col("x.key") == F.col("y.key")) & F.expr(f"x.d <= y.d AND {SIMILAR}")))
 
 
 def prefix_join(lines: DataFrame, matched: DataFrame) -> DataFrame:

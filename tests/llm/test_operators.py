@@ -350,3 +350,24 @@ def test_lines_of_rows_with_one_id_or_none(spark):
     both = "\n".join(got)
     assert a not in both and "other words stay here now" in both
     assert (b in both.split("\n")) != (f"{b} eleven" in both)
+
+
+def test_line_dedup_of_near_copies_after_some_too_far(spark, monkeypatch):
+    """Near copies whose earliest are too far from all others don't make all their pairs."""
+    made, join = [], line_dedup.prefix_join
+
+    def counted(*args):
+        made.append(join(*args))
+        return made[-1]
+
+    monkeypatch.setattr(line_dedup, "prefix_join", counted)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for d in range(300):
+        x = list(base)
+        for p in rng.choice(60, 5 if d < 6 else 3, replace=False):
+            x[p] = f"e{d}x{p}"
+        rows.append((d, " ".join(x)))
+    got = {r.d: list(r.gone) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: g for i, g in line_brute(rows).items() if g} == got
+    assert 0 < len(got) and made[0].count() < 5000
